@@ -7,11 +7,12 @@ The cover D modulo v has, for any shift, two members that differ by it. Runs of
 only where their start modulo v is in D. If two documents share a window, starting at i and at j, there is a
 0 <= s < v with both (i + s) mod v and (j + s) mod v in D: both have an anchor at s in the window, with the same
 hash. So windows need to be looked at only around anchors that occur in two documents or more; these are extended
-to whole windows, whose 64-bit hashes decide, together with a second, independent one of 32 bits.
+to whole windows, and the 64-bit hashes of whole windows decide.
 
-Anchors are grouped by native partial aggregation (smallest and largest doc_id); no group is ever gathered, and a
-hot anchor's rows are split by the adaptive join. The documents' texts are shuffled once, by doc_id, and this one
-exchange serves both the extension and the removal.
+Anchors, then windows, are shuffled once by hash and judged by a window function. Each slice of documents settles
+beforehand what it can: of a hash that many of its documents hold, all but two rows (anchors) or all but those of the
+smallest document (windows) are marked and get a key of their own, so that no hot hash gathers its rows in one task. The
+documents' texts are shuffled once, by doc_id, and this one exchange serves both the extension and the removal.
 
 Null or empty texts have no words. Rows that repeat a doc_id are taken as copies of one document: each gives a row, and
 only a smaller doc_id removes. A null doc_id is smaller than all and never a cause of removal. Other columns are left aside.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -34,8 +35,8 @@ WINDOW = 50
 #: A perfect difference set: every residue modulo 31 but 0 is a difference of two members exactly once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
-ANCHORS = arrow_schema(h=pa.int64(), doc_id=pa.int64(), at=pa.int32())
-WINDOWS = arrow_schema(doc_id=pa.int64(), at=pa.int32(), h=pa.int64(), h2=pa.int32())
+#: salt: 0, or for a row that is settled a number that parts it from all others of its hash.
+RUNS = arrow_schema(h=pa.int64(), salt=pa.int64(), doc_id=pa.int64(), at=pa.int32(), settled=pa.bool_())
 KEPT = arrow_schema(doc_id=pa.int64(), n_words=pa.int64(), n_removed=pa.int64(), kept=pa.large_string())
 
 
@@ -50,7 +51,25 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return next((v, d) for v, d in known if window - v + 1 >= max(1, window // 3))
 
 
+def _groups(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of (hash, doc_id), the group of each, and the smallest and largest doc_id of each group."""
+    order = np.lexsort((ids, h))
+    edge = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    begin = np.flatnonzero(edge)
+    return order, np.cumsum(edge) - 1, ids[order[begin]], ids[order[np.append(begin[1:], len(h)) - 1]]
+
+
+def _runs(h: np.ndarray, ids: np.ndarray, at: np.ndarray, settled: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+    salt = np.where(apart, W.mix((ids * 1_000_003 + at).view(np.uint64)) | np.uint64(1), np.uint64(0))
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(settled)], schema=RUNS)
+
+
+def _ids(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
+    """Hashed runs at cover places; settled: another document of the slice has it too."""
     length, member = window - period + 1, np.isin(np.arange(period), cover)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,38 +83,46 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
                 use = member[place % period]
                 at, place = at[use], place[use]
                 if len(at):
-                    h = W.grams(W.hashes(raw, start, end), length)[at]
-                    ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[of[at]]), pa.array(place.astype(np.int32))], schema=ANCHORS)
+                    h, ids = W.grams(W.hashes(raw, start, end), length)[at], _ids(rows)[of[at]]
+                    order, group, low, high = _groups(h, ids)
+                    h, ids, place = h[order], ids[order], place[order]
+                    shared = (low < high)[group]
+                    new = np.concatenate(([True], group[1:] != group[:-1]))
+                    last = np.concatenate((new[1:], [True]))
+                    yield _runs(h, ids, place, shared, shared & ~new & ~last)
 
     return run
 
 
 def _extended(window: int, period: int):
-    """Hashes of all whole windows that hold one of the document's shared anchors within the first ``period`` words."""
+    """Hashes of all whole windows that hold one of the document's shared anchors within the first ``period`` words.
+
+    settled: a smaller document of the slice has it too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, off in text_slices(batch, "text"):
                 start, end, first = W.spans(raw, off, W.BY_SPACE)
-                h = W.hashes(raw, start, end)
                 places = rows.column(2)
                 counts = np.asarray(pc.list_value_length(places).to_numpy(zero_copy_only=False), np.int64)
                 of = np.repeat(np.arange(rows.num_rows), counts)
                 at = first[of] + places.flatten().to_numpy()
                 fits = at < first[of + 1]  # a row that repeats a doc_id may have a shorter text
                 of, at = of[fits], at[fits]
-                near = np.zeros(len(h) + 1, np.int32)
+                near = np.zeros(len(start) + 1, np.int32)
                 np.add.at(near, np.maximum(at - period + 1, first[of]), 1)
                 np.add.at(near, at + 1, -1)
-                ok = np.zeros(len(h), bool)
+                ok = np.zeros(len(start), bool)
                 ok[W.inside(first, window)] = True
                 use = np.flatnonzero((np.cumsum(near[:-1]) > 0) & ok)
                 if len(use):
-                    ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                     owner = W.owners(first)[use]
-                    second = (W.grams(W.mix(h + np.uint64(77)), window)[use] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((use - first[owner]).astype(np.int32)), pa.array(W.grams(h, window)[use].view(np.int64)), pa.array(second)], schema=WINDOWS)
+                    h, ids, place = W.grams(W.hashes(raw, start, end), window)[use], _ids(rows)[owner], use - first[owner]
+                    order, group, low, _ = _groups(h, ids)
+                    h, ids, place = h[order], ids[order], place[order]
+                    gone = ids > low[group]
+                    yield _runs(h, ids, place, gone, gone)
 
     return run
 
@@ -145,15 +172,13 @@ def kept_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     period, cover = cover_for(window)
     docs = checked(documents, "doc_id", "text")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    anchors = arrow_map(docs.where("doc_id is not null"), _anchors(window, period, cover), ANCHORS)
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
-    places = anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    key = Window.partitionBy("h", "salt")
+    anchors = arrow_map(docs.where("doc_id is not null"), _anchors(window, period, cover), RUNS)
+    shared = anchors.withColumn("low", F.min("doc_id").over(key)).withColumn("high", F.max("doc_id").over(key)).where("settled or low < high")
+    places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     by_doc = docs.repartition(docs["doc_id"])
-    near = by_doc.join(places, "doc_id").select("doc_id", "text", "places")
-    windows = arrow_map(near, _extended(window, period), WINDOWS).where("at is not null")
-    key = ["h", "h2"]
-    owners = windows.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    later = windows.join(owners, key).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    windows = arrow_map(by_doc.join(places, "doc_id").select("doc_id", "text", "places"), _extended(window, period), RUNS)
+    later = windows.withColumn("low", F.min("doc_id").over(key)).where("settled or doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     return arrow_map(by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone"), _kept(window), KEPT)
 
 
