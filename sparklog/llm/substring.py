@@ -171,15 +171,18 @@ def kept_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     period, cover = cover_for(window)
     docs = checked(documents, "doc_id", "text")
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if dict(docs.dtypes)["doc_id"] != "bigint":  # a cast of its own, though idle, would keep the exchange from being reused
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
     key = Window.partitionBy("h", "salt")
-    anchors = arrow_map(docs.where("doc_id is not null"), _anchors(window, period, cover), RUNS)
+    anchors = arrow_map(named, _anchors(window, period, cover), RUNS)
     shared = anchors.withColumn("low", F.min("doc_id").over(key)).withColumn("high", F.max("doc_id").over(key)).where("settled or low < high")
     places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    by_doc = docs.repartition(docs["doc_id"])
+    by_doc = named.repartition("doc_id")  # one exchange for both joins
     windows = arrow_map(by_doc.join(places, "doc_id").select("doc_id", "text", "places"), _extended(window, period), RUNS)
     later = windows.withColumn("low", F.min("doc_id").over(key)).where("settled or doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
-    return arrow_map(by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone"), _kept(window), KEPT)
+    all_docs = by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone").unionByName(nameless.withColumn("gone", F.lit(None).cast("array<int>")))
+    return arrow_map(all_docs, _kept(window), KEPT)
 
 
 def op6(documents: DataFrame) -> DataFrame:
