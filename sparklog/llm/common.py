@@ -98,3 +98,12 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 def spread(df: DataFrame, by: str = "") -> int:
     """Partitions for a shuffle whose tasks hold a share of it: the session's setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """One row for each key, from a table in the shared folder whose files are buckets of the key: joins on it don't move it again."""
+    spark = df.sparkSession
+    n, path = spread(df), new_folder(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)

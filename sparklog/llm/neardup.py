@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, text_slices, written
+from . import bloom
+from .common import arrow_map, arrow_schema, bucketed, checked, drop_written, text_slices, written
 from .graph import components
 
 SIMILARITY, SHINGLE = 80, 5
@@ -109,9 +110,13 @@ def _features(size: int, bands: int, rows_per_band: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, wanted=None):
+    """Full sets of documents, of those alone that may be in a filter if there is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.value.may_have(batch.column(0).to_numpy())))
             for rows, raw, off in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in shingle_sets(raw, off, size)], pa.binary())], schema=SETS)
 
@@ -157,6 +162,18 @@ def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int,
     return arrow_map(likely.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b"), _linked(percent), PAIRS)
 
 
+def _full_sets(docs: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
+    """The sets of known nodes, in buckets by doc_id. Up to a number of nodes, a filter of bounded size picks the documents
+    where they are read; beyond it, they are joined."""
+    count, ids = known.count(), known.select(F.col("node").alias("doc_id"))
+    if count <= bloom.MOST:
+        wanted = docs.sparkSession.sparkContext.broadcast(bloom.Bloom(ids, count))
+        found = arrow_map(docs, _sets(shingle, wanted), SETS)
+    else:
+        found = arrow_map(docs.join(ids, "doc_id", "left_semi"), _sets(shingle), SETS)
+    return bucketed(found, "sets", "doc_id")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """A row for each document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     docs = checked(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -170,7 +187,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     buckets = written(entries.join(first, "key"), "buckets")
     met = buckets.select(F.col("node").alias("doc_id")).distinct()
     known = written(nodes.join(met.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "sketch"), "known")
-    sets = written(arrow_map(docs.join(known.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), _sets(shingle), SETS).dropDuplicates(["doc_id"]), "sets")
+    sets = _full_sets(docs.where("doc_id is not null"), known, shingle)
 
     def fits(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -198,6 +215,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
             links = links.unionByName(more)
             labels = components(links)
         open_, centres = now.where("not centre").select("key", "node", "n"), 2 * centres
+    for table in (buckets, known, sets, now):
+        drop_written(table)
     named = copies.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"))
     alone = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()
     return features.select("doc_id", "n", F.when(~alone, F.col("same")).alias("same")).join(named, "same", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
