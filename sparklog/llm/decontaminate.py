@@ -16,7 +16,6 @@ row each. Other columns of either input are left aside. Empty inputs give empty
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,18 +182,26 @@ def contaminated(found: DataFrame):
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def op7(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contaminated_spans(documents, benchmark)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), contaminated(found).alias("contaminated"))
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    bad = contaminated_spans(documents, benchmark)
-    bad = bad.where(contaminated(bad)).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns. With one block of the benchmark nothing is shuffled."""
+    parts = blocks(checked(benchmark, "item_id", "text").where("item_id is not null"), block_words) or [[]]
+    if len(parts) > 1:
+        bad = contaminated_spans(documents, benchmark, window, k, block_words)
+        bad = bad.where(contaminated(bad)).select(F.col("doc_id").alias("_bad")).distinct()
+        return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    shared = documents.sparkSession.sparkContext.broadcast(parts[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value, window, k)
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(np.arange(batch.num_rows)), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "row", "text"])
+            keep = [x for part in marked(iter([plain]), index) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield batch.filter(pa.array([hit == 0 or 20 * hit < n for n, hit in keep], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -158,19 +158,22 @@ def fit(documents: DataFrame, sample: int = SAMPLE, family_of: dict[str, str] |
     return Model(x, table["lang"].to_pylist(), family_of)
 
 
+def _predicted(rows: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    langs, score = np.full(rows.num_rows, UNKNOWN, object), np.zeros(rows.num_rows)
+    known = np.array([has_letter(raw[a:b]) for a, b in zip(off[:-1], off[1:])], bool)
+    if model is not None and known.any():
+        langs[known], score[known] = model.predict(features(raw, off)[known])
+    return langs, score
+
+
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     """A row for each document row: doc_id, lang_pred, score."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for rows, raw, off in text_slices(batch, "text"):
-                langs = np.full(rows.num_rows, UNKNOWN, object)
-                score = np.zeros(rows.num_rows)
-                known = np.array([has_letter(raw[a:b]) for a, b in zip(off[:-1], off[1:])], bool)
-                if model is not None and known.any():
-                    langs[known], score[known] = model.predict(features(raw, off)[known])
+                langs, score = _predicted(rows, raw, off, shared.value)
                 yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(langs.tolist(), pa.string()), pa.array(score)], schema=PREDICTED)
 
     docs = checked(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
@@ -182,7 +185,13 @@ def op5(documents: DataFrame) -> DataFrame:
 
 
 def known_language(documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, whose language is found with at least that score."""
-    found = predict(documents, fit(documents))
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents, with all their columns, whose language is found with at least that score. Nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, off in text_slices(batch, "text"):
+                langs, score = _predicted(rows, raw, off, shared.value)
+                yield rows.filter(pa.array(((langs != UNKNOWN) & (score >= least)).astype(bool)))
+
+    return documents.mapInArrow(run, documents.schema)
