@@ -27,9 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, text_slices
+from .common import arrow_map, arrow_schema, checked, ddl, text_slices
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 but 0 is a difference of two members exactly once.
@@ -127,7 +128,9 @@ def _extended(window: int, period: int):
     return run
 
 
-def _kept(window: int):
+def _kept(window: int, originals: bool):
+    """The words that stay, or with originals the whole text where all of them stay; columns after the third are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, off in text_slices(batch, "text"):
@@ -162,27 +165,35 @@ def _kept(window: int):
                 word = np.searchsorted(start, byte, "right") - 1
                 out[out_off[doc] + (sizes[byte] - sizes[off[doc]]) + (gaps[word] - gaps[first[doc]])] = raw[byte]
                 text = pa.LargeStringArray.from_buffers(rows.num_rows, pa.py_buffer(out_off.astype(np.int64)), pa.py_buffer(out))
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(n_removed, pa.int64()), text], schema=KEPT)
+                if originals:
+                    text = pc.if_else(pa.array(n_removed > 0), text, rows.column(1).cast(pa.large_string()))
+                found = [rows.column(0).cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(n_removed, pa.int64()), text]
+                yield pa.RecordBatch.from_arrays([*found, *rows.columns[3:]], names=[*KEPT.names, *rows.schema.names[3:]])
 
     return run
 
 
 def kept_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    return _cleaned(checked(documents, "doc_id", "text"), window, False)
+
+
+def _cleaned(docs: DataFrame, window: int, originals: bool) -> DataFrame:
+    """docs: doc_id, text, and columns to pass on, which take part in the one exchange of texts."""
     period, cover = cover_for(window)
-    docs = checked(documents, "doc_id", "text")
+    more = docs.columns[2:]
     if dict(docs.dtypes)["doc_id"] != "bigint":  # a cast of its own, though idle, would keep the exchange from being reused
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
     key = Window.partitionBy("h", "salt")
-    anchors = arrow_map(named, _anchors(window, period, cover), RUNS)
+    anchors = arrow_map(named.select("doc_id", "text"), _anchors(window, period, cover), RUNS)
     shared = anchors.withColumn("low", F.min("doc_id").over(key)).withColumn("high", F.max("doc_id").over(key)).where("settled or low < high")
     places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     by_doc = named.repartition("doc_id")  # one exchange for both joins
-    windows = arrow_map(by_doc.join(places, "doc_id").select("doc_id", "text", "places"), _extended(window, period), RUNS)
+    windows = arrow_map(by_doc.join(places, "doc_id").select("doc_id", "text", "places", *more), _extended(window, period), RUNS)
     later = windows.withColumn("low", F.min("doc_id").over(key)).where("settled or doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
-    all_docs = by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone").unionByName(nameless.withColumn("gone", F.lit(None).cast("array<int>")))
-    return arrow_map(all_docs, _kept(window), KEPT)
+    all_docs = by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone", *more).unionByName(nameless.withColumn("gone", F.lit(None).cast("array<int>")))
+    return all_docs.select("doc_id", "text", "gone", *more).mapInArrow(_kept(window, originals), T.StructType([*ddl(KEPT).fields, *docs.select(*more).schema.fields]))
 
 
 def op6(documents: DataFrame) -> DataFrame:
@@ -191,8 +202,10 @@ def op6(documents: DataFrame) -> DataFrame:
 
 def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages cut out: text is that of the words that stay, if any word went."""
-    kept = kept_words(documents, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
-    joined = documents.join(kept, documents["doc_id"] == kept["_id"], "left")
-    new = F.coalesce(F.col("_kept"), documents["text"])
-    columns = {"text": new, **({"n_chars": F.length(new).cast("long")} if "n_chars" in documents.columns else {})}
-    return joined.select(*(columns.get(c, documents[c]).alias(c) for c in documents.columns))
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    docs = documents.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
+    found = _cleaned(docs, window, True)
+    columns = {c: F.col(f"rest.`{c}`") for c in documents.columns} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in documents.columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(documents.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return found.select(*(columns[c].cast(documents.schema[c].dataType).alias(c) for c in documents.columns))
