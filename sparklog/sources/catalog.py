@@ -44,11 +44,16 @@ class External:
 
     def load(self, bindings: Bindings, now: float) -> DataFrame:
         if self.bound_calls and bindings:  # a source that wants the bound arguments is asked each time
-            return self.supplier(bindings)
+            return self._whole(self.supplier(bindings))
         if self.frame is None:
-            self.frame, self.loaded = self.supplier({}), now
+            self.frame, self.loaded = self._whole(self.supplier({})), now
         return self.frame
 
+    def _whole(self, df: DataFrame) -> DataFrame:
+        if missing := [c for c in self.columns if c not in df.columns]:
+            raise DatalogError(f"the source of {self.name} has no columns {missing}; it has {df.columns}")
+        return df
+
     def forget(self) -> None:
         self.frame, self.loaded = None, None
         self.version += 1
@@ -63,9 +68,6 @@ class External:
     def rows(self, bindings: Bindings, now: float) -> DataFrame:
         """Columns c0, c1, ... in their kinds, of the rows whose arguments have the bound values."""
         df = self.load(bindings, now)
-        missing = [c for c in self.columns if c not in df.columns]
-        if missing:
-            raise DatalogError(f"the source of {self.name} has no columns {missing}; it has {df.columns}")
         col = {c: F.col(f"`{c}`") for c in self.columns}
         if self.on_null == "drop":
             for c in dict.fromkeys(self.columns):
