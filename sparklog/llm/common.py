@@ -75,8 +75,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, ddl(schema))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut a batch into rows with about ``limit`` bytes of text: (rows, bytes, n + 1 offsets). Null text is empty."""
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut a batch into at most ``rows`` rows with about ``limit`` bytes of text: (rows, bytes, n + 1 offsets). Null text is empty."""
     values = batch.column(batch.schema.get_field_index(column))
     if values.type != pa.large_string():
         values = values.cast(pa.large_string())
@@ -90,7 +90,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
         yield batch.slice(i, j - i), raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

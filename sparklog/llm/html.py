@@ -1,7 +1,7 @@
 """Main text of web pages: a tolerant scan of the markup, and a host suffix array for what markup leaves open.
 
-Where a page has an article (or a main element), its blocks are the text, without excluded parts: a page's markup says
-there what the article is, and repeated passages inside it belong to it. Pages without one are decided by the host suffix
+Where a page has an article (an article or main element, else one named so), its blocks are the text, without excluded
+parts: a page's markup says there what the article is, and repeated passages inside it belong to it. Pages without one are decided by the host suffix
 array: the token streams of a host's pages are concatenated and their suffixes sorted to the depth of ``MIN_TOKENS``;
 runs of at least that many tokens that occur on two pages or more are boilerplate, and the unique runs are kept.
 Suffix arrays alone can't give whole articles (copies and shared passages on one host would go, unrepeated menus and
@@ -65,6 +65,8 @@ EXCLUDED_NAMES = frozenset(
 #: Elements that are the page or the article itself, whatever their names say.
 KEPT_WHOLE = frozenset(["html", "body", "article", "main"])
 ARTICLES = frozenset(["article", "main"])
+#: Names that stand for an article where a page has no such element.
+CONTAINERS = frozenset("article article-body article-content articlebody content content-body content-main entry entry-content main main-content maincontent page-content post post-body post-content story story-body".split())
 
 PAGES = arrow_schema(row=pa.int64(), page_id=pa.int64(), url=pa.string(), host=pa.string(), marked=pa.bool_(), blocks=pa.list_(pa.string()))
 COVERED = arrow_schema(row=pa.int64(), block=pa.list_(pa.bool_()))
@@ -92,20 +94,32 @@ def _excluded(tag: str, attributes: str) -> bool:
     return False
 
 
+def _container(tag: str, attributes: str) -> int:
+    """2 for an article, 1 for an element that is named as one, else 0."""
+    if tag in ARTICLES:
+        return 2
+    if attributes and tag not in INLINE:
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            value = next((v for v in values if v), "").lower()
+            if (name.lower() in ("class", "id", "itemprop") and not CONTAINERS.isdisjoint(value.split())) or (name.lower() == "role" and value in ("main", "article")):
+                return 1
+    return 0
+
+
 def blocks(html: str) -> tuple[bool, list[str]]:
     """Whether the page has an article, and the blocks of it, or without one of all that isn't excluded."""
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, whether text in them is excluded, whether it is in an article
-    article: list[str] = []
-    loose: list[str] = []
+    stack: list[tuple[str, bool, int]] = []  # open elements: tag, whether text in them is excluded, what article it is in
+    kept: tuple[list[str], list[str], list[str]] = ([], [], [])
     text: list[str] = []
-    found = False
+    best = 0
 
     def flush() -> None:
         if text:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
             if block:
-                (article if stack and stack[-1][2] else loose).append(block)
+                for level in range(stack[-1][2] + 1 if stack else 1):
+                    kept[level].append(block)
 
     def close(n: int) -> None:
         if any(tag not in INLINE for tag, _, _ in stack[n:]):
@@ -141,19 +155,19 @@ def blocks(html: str) -> tuple[bool, list[str]]:
             if any(x[0] in LISTS.get(stack[k][0], ()) or x[0] in ARTICLES for x in stack[k + 1 :]):
                 break
             close(k)
-        out, inner = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        out, inner = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if name in VOID:
             continue
         out = out or _excluded(name, tag[4])
-        inner = inner or (name in ARTICLES and not out)
-        found |= inner
+        inner = max(inner, 0 if out else _container(name, tag[4]))
+        best = max(best, inner)
         if not tag[4].rstrip().endswith("/") or name not in ("svg", "math"):
             stack.append((name, out, inner))
         if name in RAW:
             close_tag = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(html, at)
             at = close_tag.start() if close_tag else end
     flush()
-    return found, article if found else loose
+    return best > 0, kept[best]
 
 
 def host_of(url: str | None) -> str:

@@ -37,6 +37,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 SAMPLE, DIMENSIONS = 800, 4096
+#: Texts whose features are held at a time, and the least score of a document that known_language keeps.
+ROWS, LEAST = 256, 0.35
 UNKNOWN = "und"
 
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -66,8 +68,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights and, last, the intercept of a linear SVM by accelerated descent; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights of a linear SVM by accelerated descent; y is 1 or -1. A column of ones gives an intercept."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
     w = at = np.zeros(x.shape[1], x.dtype)
     step, t = 1 / (penalty + 4), 1.0
@@ -85,6 +86,7 @@ class Model:
 
     def __init__(self, x: np.ndarray, langs: list[str], family_of: dict[str, str] | None = None) -> None:
         of = FAMILY_OF if family_of is None else family_of
+        x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
         family = [of.get(lang, lang) for lang in langs]
         self.families = sorted(set(family))
         self.langs = {f: sorted({a for a, b in zip(langs, family) if b == f}) for f in self.families}
@@ -137,7 +139,7 @@ def held_out(doc_id):
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, raw, off in text_slices(batch, "text"):
+        for rows, raw, off in text_slices(batch, "text", rows=ROWS):
             x = features(raw, off).astype(np.float16)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r.tobytes() for r in x], pa.binary())], schema=FEATURES)
 
@@ -172,7 +174,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, off in text_slices(batch, "text"):
+            for rows, raw, off in text_slices(batch, "text", rows=ROWS):
                 langs, score = _predicted(rows, raw, off, shared.value)
                 yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(langs.tolist(), pa.string()), pa.array(score)], schema=PREDICTED)
 
@@ -184,13 +186,13 @@ def op5(documents: DataFrame) -> DataFrame:
     return predict(documents, fit(documents)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(documents: DataFrame, least: float = 0.5) -> DataFrame:
+def known_language(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents, with all their columns, whose language is found with at least that score. Nothing is shuffled."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, off in text_slices(batch, "text"):
+            for rows, raw, off in text_slices(batch, "text", rows=ROWS):
                 langs, score = _predicted(rows, raw, off, shared.value)
                 yield rows.filter(pa.array(((langs != UNKNOWN) & (score >= least)).astype(bool)))
 

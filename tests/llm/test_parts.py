@@ -184,6 +184,9 @@ PAGES = [
     ("<article><table><tr><td>1<td>2<tr><td>3</table><form><p>in</form>end <!-- c --> x</article>after", (True, ["1", "2", "3", "end x"])),
     ("<main><section class='cookie-notice'>c</section><p>\n a \t b\n</p><p hidden>h</p><p style='display:none'>i</p></main>", (True, ["a b"])),
     ("<article><h2>A</h2><div class='comments'><div>c1<div>c2</div></div></div><p>B</p></article>", (True, ["A", "B"])),
+    ("<div>x</div><div class='big post-content'><p>y</p><div class='ad'>z</div>w</div>v", (True, ["y", "w"])),
+    ("<div id=content>a<article>b</article></div>", (True, ["b"])),
+    ("<p class=post>a<p>b", (True, ["a"])),
     ("a &lt;b&gt; &#233; &am", (False, ["a <b> é &am"])),
 ]
 

@@ -27,7 +27,7 @@ def test_stages(spark, tiny):
         rows = docs.collect()
         if name == "language_id":
             found = language.predict(source, language.fit(source)).collect()
-            state = {i: state[i] for i in (r["doc_id"] for r in found if r["lang_pred"] != "und" and r["score"] >= 0.5)}
+            state = {i: state[i] for i in (r["doc_id"] for r in found if r["lang_pred"] != "und" and r["score"] >= language.LEAST)}
         elif name == "near_dedup":
             state = {i: state[i] for i, (_, c) in brute.components(sorted(state.items()), 5).items() if i == c}
         elif name == "substring_dedup":
