@@ -14,6 +14,8 @@ beforehand what it can: of a hash that many of its documents hold, all but two r
 smallest document (windows) are marked and get a key of their own, so that no hot hash gathers its rows in one task. The
 documents' texts are shuffled once, by doc_id, and this one exchange serves both the extension and the removal.
 
+The documents should come from a table, so that a task that runs again reads its rows in the same order.
+
 Null or empty texts have no words. Rows that repeat a doc_id are taken as copies of one document: each gives a row, and
 only a smaller doc_id removes. A null doc_id is smaller than all and never a cause of removal. Other columns are left aside.
 """
@@ -190,7 +192,9 @@ def _cleaned(docs: DataFrame, window: int, originals: bool) -> DataFrame:
     shared = anchors.withColumn("low", F.min("doc_id").over(key)).withColumn("high", F.max("doc_id").over(key)).where("settled or low < high")
     places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     by_doc = named.repartition("doc_id")  # one exchange for both joins
-    windows = arrow_map(by_doc.join(places, "doc_id").select("doc_id", "text", "places", *more), _extended(window, period), RUNS)
+    # What a slice settles depends on its rows: in order of doc_id, as the join leaves them, a task that runs again settles the same.
+    near = by_doc.join(places, "doc_id").select("doc_id", "text", "places", *more).sortWithinPartitions("doc_id")
+    windows = arrow_map(near, _extended(window, period), RUNS)
     later = windows.withColumn("low", F.min("doc_id").over(key)).where("settled or doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     all_docs = by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone", *more).unionByName(nameless.withColumn("gone", F.lit(None).cast("array<int>")))
     return all_docs.select("doc_id", "text", "gone", *more).mapInArrow(_kept(window, originals), T.StructType([*ddl(KEPT).fields, *docs.select(*more).schema.fields]))
