@@ -145,7 +145,8 @@ def _invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f"{k[0]}/{k[1]}", "cleared") for k in report.cleared] + [(f"{k[0]}/{k[1]}", "kept") for k in sorted(engine.cache.frames)], "predicate string, state string")
 
 
-_MANY = "one(R) :- region(R, 'ASIA'). many(A, B, C, D, E, F, G, H, I, J, K) :- " + ", ".join(f"one({v})" for v in "ABCDEFGHIJK") + ". many(A, B, C, D, E, F, G, H, I, J, K)?"
+_ELEVEN = [f"V{i * 7 % 11}" for i in range(11)]
+_MANY = f"one(R) :- region(R, 'ASIA'). many({', '.join(_ELEVEN)}) :- {', '.join(f'one({v})' for v in sorted(_ELEVEN))}. many({', '.join(_ELEVEN)})?"
 
 PROGRAMS: dict[str, str] = {
     "q06_join": "local(C, S) :- customer(C, N, _), orders(O, C, _, _), lineitem(O, _, S, _), supplier(S, N). local(C, S)?",

@@ -45,7 +45,7 @@ CASES = {
     "not in an empty set": ("all(p). some(X) :- all(X), !X in []. some(X)?", {("p",)}),
     "members of whole numbers": ("pick(X) :- X in [1, '01']. pick(X)?", {("1",), ("01",)}),
     "a member asked for": ("X in [p, q]?", {("p",), ("q",)}),
-    "many variables": ("u(a). m(A, B, C, D, E, F, G, H, I, J, K) :- u(A), u(B), u(C), u(D), u(E), u(F), u(G), u(H), u(I), u(J), u(K). m(A, B, C, D, E, F, G, H, I, J, K)?", {("a",) * 11}),
+    "many variables": (f"u(a). m({', '.join(f'V{i}' for i in range(11))}) :- {', '.join(f'u(V{i})' for i in range(11))}. m({', '.join(f'W{i}' for i in range(11))})?", {("a",) * 11}),
     "taken back": ("at(p, q). at(q, r). at(p, q)~ at(X, Y)?", {("q", "r")}),
     "a head that repeats": ("u(a). u(b). same(X, X) :- u(X). same(P, Q)?", {("a", "a"), ("b", "b")}),
     "a query that repeats": ("at(p, q). at(r, r). at(X, X)?", {("r", "r")}),
