@@ -121,7 +121,7 @@ class Engine:
                     evaluation.prepare(query.key)
                     rows = evaluation.base(query.key, bound)
                     if rows is not None:
-                        return self._texts(evaluation, query, rows.distinct())
+                        return self._texts(evaluation, query, rows)
                 elif self.options.magic and (component := self._recursive(evaluation, query.key)):
                     return self._asked(evaluation, query, component)
             return self._answer(evaluation, query)
@@ -146,6 +146,8 @@ class Engine:
     def _texts(evaluation: Evaluation, query: Literal, rows: DataFrame) -> DataFrame:
         kinds = evaluation.kinds[query.key]
         rows = select_constants(rows, kinds, query)
+        if not evaluation.rules.get(query.key):
+            rows = rows.distinct()
         if not query.terms:
             return rows.limit(1).select(F.lit(True).alias("holds"))
         return rows.select(*(as_kind(F.col(f"c{i}"), k, "string").alias(f"c{i}") for i, k in enumerate(kinds)))

@@ -88,14 +88,17 @@ class Evaluation:
         return order
 
     def frame(self, key: Key) -> DataFrame:
-        """The distinct rows of a predicate."""
+        """The rows of a predicate: distinct, but for one without rules, whose sources are read as they are."""
         for component in self.prepare(key):
             if all(k in self.frames for k in component):
                 continue
             if strata.recursive(self.rules, component):
                 self._fixpoint(component)
             else:
-                self.frames[component[0]] = self._union(component[0], self.rules.get(component[0], []))
+                rules = self.rules.get(component[0], [])
+                out = self._union(component[0], rules)
+                # What joins a source needn't shuffle it first: the rows of a rule are made distinct at its head.
+                self.frames[component[0]] = out.distinct() if rules else out
         return self.frames[key]
 
     def _rows(self, literal, _place: int) -> DataFrame:
@@ -108,7 +111,7 @@ class Evaluation:
             out = part if out is None else out.unionByName(part)
         if out is None:
             return self.spark.createDataFrame([], schema_of(self.kinds[key]))
-        return out.distinct()
+        return out
 
     def _fixpoint(self, component: list[Key], plain: bool = False) -> None:
         """Semi-naive rounds: each recursive literal in turn reads what the last round added, the others all there is."""
@@ -126,7 +129,7 @@ class Evaluation:
         stored = {k: Stored(spark, schema_of(self.kinds[k])) for k in component}
         for key in component:
             start = self._union(key, [c for c in rules[key] if not any(b.key in inside for b in c.body)])
-            stored[key].add(start)
+            stored[key].add(start.distinct())
         loops = [(c, i) for k in component for c in rules[k] for i, b in enumerate(c.body) if b.key in inside]
         rounds = 0
         while any(s.rounds[-1][1] for s in stored.values()):
@@ -152,7 +155,10 @@ class Evaluation:
                 columns = [f"c{i}" for i in range(key[1])] or ["u"]
                 added[key] = None if out is None else out.distinct().join(full[key], columns, "left_anti").select(*columns)
             for key, df in added.items():
-                stored[key].add(spark.createDataFrame([], schema_of(self.kinds[key])) if df is None else df)
+                if df is None:
+                    stored[key].skip()
+                else:
+                    stored[key].add(df)
             log.debug("round %d of %s: %s", rounds, component, {k: s.rounds[-1][1] for k, s in stored.items()})
         for key in component:
             self.stored[key] = stored[key]

@@ -36,6 +36,10 @@ class Stored:
         self.rounds.append((path, n))
         return n
 
+    def skip(self) -> None:
+        """A round without rows, of which nothing is written."""
+        self.rounds.append(("", 0))
+
     def _read(self, *paths: str) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], self.schema)
