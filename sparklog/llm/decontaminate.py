@@ -7,8 +7,9 @@ place. Document fingerprints that occur in the benchmark are extended: each whol
 looked up among the benchmark's windows, and its words are marked. Benchmark items with fewer words than
 a window are windows of their own length, looked up at every position (at most window - 1 lengths).
 
-The benchmark goes to the executors in blocks of at most ``block_words`` words, so its broadcast is bounded;
-documents are read once for each block, and a document's marks are merged when there are several blocks.
+The benchmark goes to the executors in blocks of about ``block_words`` words, by a hash of item_id, so its broadcast is
+bounded and the driver holds one block at a time; documents are read once for each block, and a document's marks are
+merged when there are several.
 
 Null or empty texts have no words; null item texts have no windows. Rows of documents that repeat give a
 row each. Other columns of either input are left aside. Empty inputs give empty results, or no hits.
@@ -137,16 +138,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=SPANS)
 
 
-def blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int, str | None]]]:
-    """Runs of items with about ``block_words`` words each, fetched partition by partition of a range of item_id."""
-    out, now, size = [], [], 0
-    for r in benchmark.orderBy("item_id").toLocalIterator():
-        now.append((r["item_id"], r["text"]))
-        size += 1 + len(r["text"] or "") // 4
-        if size >= block_words:
-            out.append(now)
-            now, size = [], 0
-    return out + [now] * bool(now)
+class Blocks:
+    """A benchmark's items in blocks of about ``block_words`` words."""
+
+    def __init__(self, benchmark: DataFrame, block_words: int) -> None:
+        self.items = checked(benchmark, "item_id", "text").where("item_id is not null")
+        words = self.items.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0
+        self.count = max(1, -(-int(words) // block_words))
+
+    def fetch(self, block: int) -> list[tuple[int, str | None]]:
+        mine = F.pmod(F.xxhash64("item_id"), F.lit(self.count)) == block
+        return sorted(((r["item_id"], r["text"]) for r in self.items.where(mine).collect()), key=lambda r: r[0])
 
 
 def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -158,19 +160,22 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int =
         raise ValueError("k must be between 1 and the window")
     spark = documents.sparkSession
     docs = checked(documents, "doc_id", "text").select("doc_id", F.lit(0).cast("long").alias("row"), "text")
-    parts = blocks(checked(benchmark, "item_id", "text").where("item_id is not null"), block_words) or [[]]
-    if len(parts) > 1:  # the rows of one document, from different blocks, must be told from repeated rows
+    parts = Blocks(benchmark, block_words)
+    if parts.count > 1:  # the rows of one document, from different blocks, must be told from repeated rows
         docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     found = None
-    for part in parts:
-        shared = spark.sparkContext.broadcast(part)
+    for block in range(parts.count):
+        shared = spark.sparkContext.broadcast(parts.fetch(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             return marked(batches, Index(shared.value, window, k))
 
         one = arrow_map(docs, run, SPANS)
+        if parts.count > 1:
+            one = written(one, "marks")
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
-    if len(parts) > 1:
+    if parts.count > 1:
         spans = F.arrays_zip(F.col("hit_starts").alias("a"), F.col("hit_ends").alias("b"))
         grouped = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(spans).alias("spans"), F.collect_list("items").alias("all_items"))
         found = arrow_map(grouped, _merged, SPANS)
@@ -190,12 +195,12 @@ def op7(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that aren't contaminated, with all their columns. With one block of the benchmark nothing is shuffled."""
-    parts = blocks(checked(benchmark, "item_id", "text").where("item_id is not null"), block_words) or [[]]
-    if len(parts) > 1:
+    parts = Blocks(benchmark, block_words)
+    if parts.count > 1:
         bad = contaminated_spans(documents, benchmark, window, k, block_words)
         bad = bad.where(contaminated(bad)).select(F.col("doc_id").alias("_bad")).distinct()
         return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
-    shared = documents.sparkSession.sparkContext.broadcast(parts[0])
+    shared = documents.sparkSession.sparkContext.broadcast(parts.fetch(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, window, k)
