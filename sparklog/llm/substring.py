@@ -38,8 +38,8 @@ WINDOW = 50
 #: A perfect difference set: every residue modulo 31 but 0 is a difference of two members exactly once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
-#: salt: 0, or for a row that is settled a number that parts it from all others of its hash.
-RUNS = arrow_schema(h=pa.int64(), salt=pa.int64(), doc_id=pa.int64(), at=pa.int32(), settled=pa.bool_())
+#: at: a place, or for a settled row -1 - place. h: the hash, or for a row apart from its group a number of its own.
+RUNS = arrow_schema(h=pa.int64(), doc_id=pa.int64(), at=pa.int32())
 KEPT = arrow_schema(doc_id=pa.int64(), n_words=pa.int64(), n_removed=pa.int64(), kept=pa.large_string())
 
 
@@ -63,8 +63,8 @@ def _groups(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _runs(h: np.ndarray, ids: np.ndarray, at: np.ndarray, settled: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
-    salt = np.where(apart, W.mix((ids * 1_000_003 + at).view(np.uint64)) | np.uint64(1), np.uint64(0))
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(settled)], schema=RUNS)
+    key = np.where(apart, W.mix(h ^ W.mix((ids * 1_000_003 + at).view(np.uint64))), h)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(np.where(settled, -1 - at, at).astype(np.int32))], schema=RUNS)
 
 
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
@@ -187,15 +187,15 @@ def _cleaned(docs: DataFrame, window: int, originals: bool) -> DataFrame:
     if dict(docs.dtypes)["doc_id"] != "bigint":  # a cast of its own, though idle, would keep the exchange from being reused
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    key = Window.partitionBy("h", "salt")
+    key, place = Window.partitionBy("h"), F.expr("if(at < 0, -1 - at, at)")
     anchors = arrow_map(named.select("doc_id", "text"), _anchors(window, period, cover), RUNS)
-    shared = anchors.withColumn("low", F.min("doc_id").over(key)).withColumn("high", F.max("doc_id").over(key)).where("settled or low < high")
-    places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    shared = anchors.withColumn("low", F.min("doc_id").over(key)).withColumn("high", F.max("doc_id").over(key)).where("at < 0 or low < high")
+    places = shared.groupBy("doc_id").agg(F.collect_set(place).alias("places"))
     by_doc = named.repartition("doc_id")  # one exchange for both joins
     # What a slice settles depends on its rows: in order of doc_id, as the join leaves them, a task that runs again settles the same.
     near = by_doc.join(places, "doc_id").select("doc_id", "text", "places", *more).sortWithinPartitions("doc_id")
     windows = arrow_map(near, _extended(window, period), RUNS)
-    later = windows.withColumn("low", F.min("doc_id").over(key)).where("settled or doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    later = windows.withColumn("low", F.min("doc_id").over(key)).where("at < 0 or doc_id > low").groupBy("doc_id").agg(F.collect_set(place).alias("gone"))
     all_docs = by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone", *more).unionByName(nameless.withColumn("gone", F.lit(None).cast("array<int>")))
     return all_docs.select("doc_id", "text", "gone", *more).mapInArrow(_kept(window, originals), T.StructType([*ddl(KEPT).fields, *docs.select(*more).schema.fields]))
 

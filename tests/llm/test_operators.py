@@ -204,6 +204,19 @@ def test_substrings(spark, docs, nothing):
     assert len(rows) == 6 and all(r["n_removed"] == 0 for r in rows)
 
 
+def test_texts_are_shuffled_once(spark, tiny):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (substring.op6, substring.without_repeats):
+            df = make(spark.read.parquet(f"{tiny}/documents.parquet"))
+            df.write.format("noop").mode("overwrite").save()
+            df.collect()
+            assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("window", [1, 3, 8, 20])
 def test_substrings_of_other_windows(spark, window):
     rng = random.Random(window)
