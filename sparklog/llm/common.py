@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,21 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text of one slice that the vectorised code works on at a time (a longer document is a slice of its own).
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
+from ..storage import shared_folder as shared_dir
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-    return found.rstrip("/")
+#: Text of one slice that the vectorised code works on at a time (a longer document is a slice of its own).
+SLICE_BYTES = (1 << 21) - 1
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -43,13 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Remove the files behind a table of ``written`` that nothing will read again."""
+    """Remove the files behind a table of ``written`` or ``bucketed`` that nothing will read again."""
     spark = df.sparkSession
     jvm = spark._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/" in name and shared_dir(spark).split(":")[-1].lstrip("/") in name:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if table := _TABLES.pop(name.rsplit("/", 1)[1], None):
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def checked(df: DataFrame, *columns: str) -> DataFrame:
@@ -95,15 +83,19 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, ro
         i = j
 
 
-def spread(df: DataFrame, by: str = "") -> int:
+def spread(df: DataFrame) -> int:
     """Partitions for a shuffle whose tasks hold a share of it: the session's setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: The catalogue's names of bucketed tables, by folder.
+_TABLES: dict[str, str] = {}
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """One row for each key, from a table in the shared folder whose files are buckets of the key: joins on it don't move it again."""
     spark = df.sparkSession
     n, path = spread(df), new_folder(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
+    table = _TABLES[path.rsplit("/", 1)[1]] = path.rsplit("/", 1)[1].replace("-", "_")
     df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, arrow_schema, checked, new_folder
+from .common import arrow_map, arrow_schema, checked, new_folder, spread
 from .encode import encoder
 
 NULL_ID = -(1 << 63)
@@ -173,8 +173,7 @@ def write_records(documents: DataFrame, tokenizer: str, end: int, folder: str |
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
     docs = checked(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     rows, low = [], 0
     for r in sorted(arrow_map(ordered, _writer(folder, tokenizer, end), SHARDS).collect(), key=lambda r: r["shard"]):
         rows.append((*(r[c] for c in ("shard", "path")), low, r["n_docs"], r["n_ids"], r["width"]))
