@@ -68,6 +68,14 @@ def test_connected_bodies_have_no_product(spark, tiny):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_sources_arent_shuffled_before_they_are_joined(spark, tiny):
+    engine = Engine(spark)
+    engine.catalog.parquet("supplier", f"{tiny}/supplier.parquet", ["s_suppkey", "s_nationkey"])
+    engine.catalog.parquet("nation", f"{tiny}/nation.parquet", ["n_nationkey", "n_regionkey"])
+    df = engine.load("near(S, R) :- supplier(S, N), nation(N, R). near(S, R)?")[-1]
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_types_meet_as_texts(spark):
     engine = Engine(spark)
     engine.register("a", spark.createDataFrame([(1, True), (2, False)], "v int, b boolean"))
