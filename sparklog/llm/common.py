@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..storage import shared_folder as shared_dir
 
 #: Text of one slice that the vectorised code works on at a time (a longer document is a slice of its own).
-SLICE_BYTES = (1 << 21) - 1
+SLICE_BYTES = (1 << 20) - 1
+#: Rows of an Arrow batch where the session has Spark's default: with whole texts, that one is too large for small executors.
+BATCH_ROWS = 2000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -59,8 +61,16 @@ def ddl(schema: pa.Schema) -> str:
     return from_arrow_schema(schema)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same DataFrame; its session is set to batches of few rows, unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: pa.Schema) -> DataFrame:
-    return df.mapInArrow(fn, ddl(schema))
+    return small_batches(df).mapInArrow(fn, ddl(schema))
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, text_slices, written
+from .common import arrow_map, arrow_schema, checked, small_batches, text_slices, written
 
 WINDOW, K = 13, 7
 BLOCK_WORDS = 1 << 20
@@ -209,4 +209,4 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: i
             keep = [x for part in marked(iter([plain]), index) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
             yield batch.filter(pa.array([hit == 0 or 20 * hit < n for n, hit in keep], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, text_slices
+from .common import arrow_map, arrow_schema, checked, small_batches, text_slices
 
 #: Families of languages by code; of those that share a writing system, relatives are hardest to tell apart.
 FAMILIES = {
@@ -196,4 +196,4 @@ def known_language(documents: DataFrame, least: float = LEAST) -> DataFrame:
                 langs, score = _predicted(rows, raw, off, shared.value)
                 yield rows.filter(pa.array(((langs != UNKNOWN) & (score >= least)).astype(bool)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)
