@@ -27,7 +27,7 @@ _MARK = {"bytes": lambda token: token.startswith("Ġ"), "words": lambda token: t
 _TOGETHER = 1000
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Chunks that a worker keeps; beyond it starts afresh.
-CACHE = 1_100_000
+CACHE = 1_500_000
 
 
 def _kind(path: str) -> str | None:
