@@ -4,10 +4,13 @@
 2. Graph: for 4 of the bins, all documents are sorted by that bin's hash, then by the next one's; each is linked with the
    2 before it that share the hash, weighted by the share of equal bins. Each document keeps its 4 nearest. Sorting by
    ranges that end in the row's number splits a group of any size over tasks, and no group lists its pairs.
-3. Paths: the same order cuts the documents into blocks of bounded size. In a block a path starts at the unvisited
-   document of the lowest degree and goes on to the nearest unvisited neighbour, until there is none.
-4. Windows: documents lie along the paths, block after block, as one line of ids that is cut every ``length`` ids. Only the
-   last sequence can be short, so padding is below one sequence, however many documents or blocks there are.
+3. Paths: at first each document is a path. In rounds, two paths are joined where a link of their ends is the strongest that
+   either has, until the links between ends of different paths are few enough for one task. That one goes through what is
+   left: it starts at the unvisited end of the lowest degree and goes on to the nearest unvisited neighbour, until there is
+   none. No document is cut off from its links by a border, whatever the number of documents; each round's links and
+   joints are written tables.
+4. Windows: documents lie along the paths, one path after the other, as one line of ids that is cut every ``length`` ids. Only the
+   last sequence can be short, so padding is below one sequence, however many documents or paths there are.
 
 Null and empty texts are one end id. Rows that repeat are documents of their own; a null doc_id is kept. Other columns
 are left aside. An empty table gives no pieces.
@@ -24,16 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, written
+from .common import arrow_map, arrow_schema, checked, drop_written, written
 from .encode import encoder
 
 LENGTH, END = 4096, 2
 BINS, TABLES, BEFORE, NEAREST = 8, 4, 2, 4
-#: Documents of a block on the average: what one task's walk holds.
+#: What one task's walk holds: the links of so many documents.
 BLOCK = 50_000
 
 TOKENS = arrow_schema(row=pa.int64(), doc_id=pa.int64(), n=pa.int64(), ids=pa.binary(), width=pa.int32(), sketch=pa.list_(pa.int64()))
 EDGES = arrow_schema(a=pa.int64(), b=pa.int64(), near=pa.int32())
+JOINTS = arrow_schema(path=pa.int64(), new=pa.int64(), sign=pa.int64(), plus=pa.int64(), n=pa.int64())
 PLACED = arrow_schema(row=pa.int64(), block=pa.int64(), before=pa.int64(), n=pa.int64())
 PIECES = arrow_schema(doc_id=pa.int64(), start=pa.int64(), length=pa.int64(), doc_tokens=pa.int64(), sequence_id=pa.int64(), offset=pa.int64(), ids=pa.binary())
 
@@ -99,38 +103,103 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tuple(x[-BEFORE:] for x in now)
 
 
-def walk(rows: list[int], edges: dict[int, list[tuple[int, int]]]) -> list[int]:
-    """All rows in order of the greedy paths. edges: of a row, (nearness, other row); others that aren't here are passed over."""
-    here = set(rows)
+def walk(rows: list[int], edges: dict[int, list[tuple[int, int]]], across: dict[int, int] | None = None) -> list[int]:
+    """All rows in order of the greedy paths. edges: of a row, (nearness, other row); others that aren't here are passed over.
+
+    across: of an end of a path, the other one; of these two rows, that by which the path is entered is given.
+    """
+    here, across = set(rows), across or {}
     out: list[int] = []
     waiting = [(sum(b in here for _, b in edges.get(r, ())), r) for r in rows]
     heapq.heapify(waiting)
     while waiting:
         at: int | None = heapq.heappop(waiting)[1]
         while at is not None and at in here:
-            here.discard(at)
+            far = across.get(at, at)
+            here -= {at, far}
             out.append(at)
-            at = max(((near, -b) for near, b in edges.get(at, ()) if b in here), default=(0, None))[1]
+            at = max(((near, -b) for near, b in edges.get(far, ()) if b in here), default=(0, None))[1]
             at = None if at is None else -at
     return out
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block is a partition, of rows (row, n, others), others as (near, b)."""
+    """All links that are left, in one partition, to the joints of their paths, which become one: path -1."""
+    edges: dict[int, list[tuple[int, int]]] = {}
+    ends: dict[int, tuple[int, int, int]] = {}  # of an end: path, place, documents of the path
+    by_path: dict[int, list[int]] = {}
+    for batch in batches:
+        x = batch.to_pydict()
+        for near, a, b, *of in zip(*(x[c] for c in ("near", "a", "b", "path_a", "at_a", "n_a", "path_b", "at_b", "n_b"))):
+            for row, other, end in ((a, b, of[:3]), (b, a, of[3:])):
+                if row not in ends:
+                    ends[row] = tuple(end)
+                    by_path.setdefault(end[0], []).append(row)
+                edges.setdefault(row, []).append((near, other))
+    across: dict[int, int] = {}
+    for path, rows in by_path.items():
+        _, at, n = ends[rows[0]]
+        if n > 1 and len(rows) == 1:  # the other end has no links: any number that is no row stands for it
+            rows.append(-2 - path)
+            ends[rows[1]] = path, n - 1 - at, n
+        across |= {rows[0]: rows[-1], rows[-1]: rows[0]}
+    out, before = [], 0
+    for row in walk(list(ends), edges, across):
+        path, at, n = ends[row]
+        out.append((path, -1, 1, before, n) if at == 0 else (path, -1, -1, before + n - 1, n))
+        before += n
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=JOINTS)
+
+
+def _moved(df: DataFrame, joints: DataFrame, path: str, at: str, n: str | None = None) -> DataFrame:
+    """The same rows with paths and places in them after joints."""
+    j = joints.select(F.col("path").alias(path), "new", "sign", "plus", F.col("n").alias("_n"))
+    df = df.join(j, path, "left").withColumn(at, F.coalesce(F.col("sign") * F.col(at) + F.col("plus"), at)).withColumn(path, F.coalesce("new", path))
+    return (df.withColumn(n, F.coalesce("_n", n)) if n else df).drop("new", "sign", "plus", "_n")
+
+
+def joints(graph: DataFrame, most: int) -> list[DataFrame]:
+    """How paths are joined, round after round; a document is a path at first. graph: row, others. At most ``most`` links are left to one task.
+
+    A round's table has each path that is joined: its new name, and sign and plus, by which the place of a document in the
+    path becomes sign * place + plus; n is the number of documents of the new path.
+    """
+    links = graph.select("row", F.inline("others")).select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b"), "near").distinct()
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    left = written(links.select("near", "a", "b", F.col("a").alias("path_a"), none.alias("at_a"), one.alias("n_a"), F.col("b").alias("path_b"), none.alias("at_b"), one.alias("n_b")), "links")
+    rounds: list[DataFrame] = []
+    while left.count() > most:
+        link = F.struct("near", F.xxhash64("a", "b").alias("tie"), *(c for c in left.columns if c != "near"))
+        sides = left.select(F.col("path_a").alias("path"), link.alias("link")).unionByName(left.select(F.col("path_b").alias("path"), link.alias("link")))
+        # The strongest link of both its paths is taken: a path is joined once in a round, so there are no circles.
+        taken = sides.groupBy("path").agg(F.max("link").alias("link")).groupBy("link").count().where("count = 2").select("link.*")
+        swap = F.col("path_a") > F.col("path_b")
+        first = {c: F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("path", "at", "n")}
+        second = {c: F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("path", "at", "n")}
+        taken = taken.select(*(x.alias(f"{c}_1") for c, x in first.items()), *(x.alias(f"{c}_2") for c, x in second.items()))
+        pair = """inline(array(
+            named_struct('path', path_1, 'new', path_1, 'sign', if(at_1 = n_1 - 1, 1L, -1L), 'plus', if(at_1 = n_1 - 1, 0L, n_1 - 1), 'n', n_1 + n_2),
+            named_struct('path', path_2, 'new', path_1, 'sign', if(at_2 = 0, 1L, -1L), 'plus', if(at_2 = 0, n_1, n_1 + n_2 - 1), 'n', n_1 + n_2)))"""
+        rounds.append(written(taken.selectExpr(pair), "joints"))
+        old = left
+        left = _moved(_moved(old, rounds[-1], "path_a", "at_a", "n_a"), rounds[-1], "path_b", "at_b", "n_b")
+        left = written(left.where("path_a <> path_b AND at_a IN (0, n_a - 1) AND at_b IN (0, n_b - 1)").select(*old.columns), "links")
+        drop_written(old)
+    rounds.append(written(arrow_map(left.coalesce(1), _walked, JOINTS), "joints"))
+    drop_written(left)
+    return rounds
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, n) of a partition, in order, with the ids before them in it."""
     from pyspark import TaskContext
 
-    size: dict[int, int] = {}
-    edges: dict[int, list[tuple[int, int]]] = {}
+    block, before = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for row, n, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            size[row] = n
-            if others:
-                edges[row] = [(x["near"], x["b"]) for x in others]
-    if size:
-        order = walk(list(size), edges)
-        n = np.array([size[r] for r in order], np.int64)
-        block = np.full(len(n), TaskContext.get().partitionId(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(block), pa.array(np.cumsum(n) - n), pa.array(n)], schema=PLACED)
+        n = batch.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), block, np.int64)), pa.array(before + np.cumsum(n) - n), batch.column(1)], schema=PLACED)
+        before += int(n.sum())
 
 
 def _cut(length: int):
@@ -169,10 +238,12 @@ def packed(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int
     docs = checked(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     tokens = written(arrow_map(docs, _encoded(tokenizer, end), TOKENS), "tokens")
     count = tokens.count()
-    small = tokens.select("row", "n", F.col("sketch")[0].alias("first"), F.col("sketch")[1].alias("second"))
     blocks = max(1, -(-count // block))
-    graph = small.join(neighbours(tokens), "row", "left").repartitionByRange(blocks, "first", "second", "row").select("row", "n", "others")
-    placed = written(arrow_map(graph, _walked, PLACED), "placed")
+    order = tokens.select("row", "n", F.col("row").alias("path"), F.lit(0).cast("long").alias("at"))
+    for joined in joints(neighbours(tokens), NEAREST * block):
+        order = _moved(order, joined, "path", "at")
+    order = order.repartitionByRange(blocks, "path", "at").sortWithinPartitions("path", "at").select("row", "n")
+    placed = written(arrow_map(order, _placed, PLACED), "placed")
     sizes = placed.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()  # one row for each block
     low, lows = 0, []
     for r in sizes:

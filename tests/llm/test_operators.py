@@ -135,6 +135,20 @@ def test_packing_keeps_relatives_together(spark):
     assert r["padding"] < 4096
 
 
+def test_packing_links_across_blocks(spark):
+    """Relatives that share few bins lie side by side, however few documents a task's walk holds."""
+    rows = [(10 * g + k, changed(text(60, 3000 + g), 9 * k, 10 * g + k)) for g in range(120) for k in range(2)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    apart = {}
+    for block in (1000, 4):
+        pieces = pack.packed(df, path("word_bpe_49k.json"), length=256, block=block).orderBy("sequence_id", "offset").collect()
+        line = list(dict.fromkeys(r["doc_id"] for r in pieces))
+        assert sorted(line) == sorted(i for i, _ in rows)
+        apart[block] = sum(abs(line.index(10 * g) - line.index(10 * g + 1)) > 1 for g in range(120))
+    assert apart[4] <= apart[1000] + 6, apart
+
+
 def test_near_duplicates(spark, docs, nothing):
     got = by_id(neardup.op4(docs))
     for i, (n, c) in brute.components(DOCS).items():
