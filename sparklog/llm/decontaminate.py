@@ -156,13 +156,18 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int =
 
     k words make a hash; window - k + 1 hashes make a winnowing window; k may be at most the window.
     """
-    if not 1 <= k <= window:
-        raise ValueError("k must be between 1 and the window")
-    spark = documents.sparkSession
     docs = checked(documents, "doc_id", "text").select("doc_id", F.lit(0).cast("long").alias("row"), "text")
     parts = Blocks(benchmark, block_words)
     if parts.count > 1:  # the rows of one document, from different blocks, must be told from repeated rows
         docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    return _spans(docs, parts, window, k).drop("row")
+
+
+def _spans(docs: DataFrame, parts: Blocks, window: int, k: int) -> DataFrame:
+    """The spans of documents (doc_id, row, text), with row; with several blocks, row is each one's own."""
+    if not 1 <= k <= window:
+        raise ValueError("k must be between 1 and the window")
+    spark = docs.sparkSession
     found = None
     for block in range(parts.count):
         shared = spark.sparkContext.broadcast(parts.fetch(block))
@@ -179,7 +184,7 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int =
         spans = F.arrays_zip(F.col("hit_starts").alias("a"), F.col("hit_ends").alias("b"))
         grouped = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(spans).alias("spans"), F.collect_list("items").alias("all_items"))
         found = arrow_map(grouped, _merged, SPANS)
-    return found.drop("row")
+    return found
 
 
 def contaminated(found: DataFrame):
@@ -194,12 +199,14 @@ def op7(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. With one block of the benchmark nothing is shuffled."""
+    """The documents that aren't contaminated, with all their columns. Each row is judged by itself. With one block of the benchmark nothing is shuffled."""
     parts = Blocks(benchmark, block_words)
     if parts.count > 1:
-        bad = contaminated_spans(documents, benchmark, window, k, block_words)
-        bad = bad.where(contaminated(bad)).select(F.col("doc_id").alias("_bad")).distinct()
-        return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+        names = {c.lower() for c in documents.columns}
+        row = next(c for i in range(len(names) + 1) if (c := f"_row{i}") not in names)
+        numbered = written(documents.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+        found = _spans(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col(row).alias("row"), "text"), parts, window, k)
+        return numbered.join(found.where(contaminated(found)).select(F.col("row").alias(row)), row, "left_anti").select(documents.columns)
     shared = documents.sparkSession.sparkContext.broadcast(parts.fetch(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

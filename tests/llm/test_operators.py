@@ -268,6 +268,16 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.op7(odd(spark), bench).count() == 6
 
 
+def test_decontamination_judges_each_row(spark):
+    """Rows that share a contaminated row's doc_id, or lack one as it does, stay, for a benchmark of any size."""
+    rows = [(None, ITEM, 1), (None, text(30, 1), 2), (7, ITEM, 3), (7, text(30, 2), 4), (8, None, 5), (None, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row0 int")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for size in (5, 1 << 20):
+        out = decontaminate.clean(df, bench, block_words=size)
+        assert out.columns == df.columns and sorted(r["_row0"] for r in out.collect()) == [2, 4, 5, 6]
+
+
 def test_quality(spark, nothing, tiny):
     docs, labels = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet")
     got = by_id(quality.op8(docs, labels))
