@@ -16,7 +16,8 @@ bucket with all their pairs tested. Rounds go on until each bucket holds one com
 of all links that share a band. Buckets are never gathered; links and labels stay in tables.
 
 Null or empty texts have an empty set, linked with nothing; so are rows with a null doc_id, which stay. Rows that repeat
-a doc_id are one document, taken with each of its texts. Columns other than doc_id and text are left aside.
+a doc_id are one document, taken with each of its texts: nodes are sets, not documents, and sets of one document are
+linked. A row with an empty set belongs to its document's other rows, if there are any. Columns other than doc_id and text are left aside.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ BANDS, ROWS = 36, 5
 SIGMAS = 6
 
 FEATURES = arrow_schema(doc_id=pa.int64(), n=pa.int64(), same=pa.binary(), bands=pa.list_(pa.int64()), sketch=pa.binary())
-SETS = arrow_schema(doc_id=pa.int64(), members=pa.binary())
+SETS = arrow_schema(same=pa.binary(), members=pa.binary())
 PAIRS = arrow_schema(a=pa.int64(), b=pa.int64())
 
 _ROUND = np.random.default_rng(5).integers(0, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -83,6 +84,10 @@ def sketches(members: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
     return out.reshape(n, t)
 
 
+def digest(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def _features(size: int, bands: int, rows_per_band: int):
     t = bands * rows_per_band
 
@@ -100,7 +105,7 @@ def _features(size: int, bands: int, rows_per_band: int):
                     [
                         rows.column(0).cast(pa.int64()),
                         pa.array(n, pa.int64()),
-                        pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                        pa.array([digest(x) for x in sets], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64))),
                         pa.array([x.tobytes() for x in small], pa.binary()),
                     ],
@@ -118,7 +123,8 @@ def _sets(size: int, wanted=None):
             if wanted is not None:
                 batch = batch.filter(pa.array(wanted.value.may_have(batch.column(0).to_numpy())))
             for rows, raw, off in text_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in shingle_sets(raw, off, size)], pa.binary())], schema=SETS)
+                sets = shingle_sets(raw, off, size)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=SETS)
 
     return run
 
@@ -158,35 +164,39 @@ def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int,
     least = max(0.0, s - SIGMAS * (s * (1 - s) / t) ** 0.5)
     a, b = (known.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     likely = arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b"), _likely(least), PAIRS)
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab")
+    a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab")
     return arrow_map(likely.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b"), _linked(percent), PAIRS)
 
 
 def _full_sets(docs: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
-    """The sets of known nodes, in buckets by doc_id. Up to a number of nodes, a filter of bounded size picks the documents
-    where they are read; beyond it, they are joined."""
-    count, ids = known.count(), known.select(F.col("node").alias("doc_id"))
+    """The sets of known nodes, in buckets by node. Up to a number of nodes, a filter of bounded size picks the documents
+    where they are read; beyond it, they are joined. Other sets of these documents come along."""
+    count, ids = known.count(), known.select("doc_id")
     if count <= bloom.MOST:
         wanted = docs.sparkSession.sparkContext.broadcast(bloom.Bloom(ids, count))
         found = arrow_map(docs, _sets(shingle, wanted), SETS)
     else:
         found = arrow_map(docs.join(ids, "doc_id", "left_semi"), _sets(shingle), SETS)
-    return bucketed(found, "sets", "doc_id")
+    return bucketed(found.select(F.xxhash64("same").alias("node"), "members"), "sets", "node")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """A row for each document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     docs = checked(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     features = written(arrow_map(docs, _features(shingle, bands, rows_per_band), FEATURES), "sketches")
-    full = features.where("n > 0 and doc_id is not null")
-    # Equal sets are one node, named by its smallest doc_id.
-    copies = full.groupBy("same").agg(F.min("doc_id").alias("node"))
-    nodes = full.join(copies.select(F.col("node").alias("doc_id"), F.col("same").alias("_same")), "doc_id").where("same = _same").select(F.col("doc_id").alias("node"), "n", "bands", "sketch").dropDuplicates(["node"])
+    features = features.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("same")))
+    full = features.where("node is not null")
+    # Equal sets are one node; its doc_id is the smallest of theirs.
+    copies = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = full.select("node", "doc_id", "n", "bands", "sketch").join(copies, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+    # Sets of one document are linked.
+    own = full.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    own = written(full.select("doc_id", "node").join(own, "doc_id").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "own")
     entries = nodes.select("node", "n", F.explode("bands").alias("key"))
     first = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
     buckets = written(entries.join(first, "key"), "buckets")
-    met = buckets.select(F.col("node").alias("doc_id")).distinct()
-    known = written(nodes.join(met.withColumnRenamed("doc_id", "node"), "node", "left_semi").select("node", "sketch"), "known")
+    met = buckets.select("node").distinct()
+    known = written(nodes.join(met, "node", "left_semi").select("node", "doc_id", "sketch"), "known")
     sets = _full_sets(docs.where("doc_id is not null"), known, shingle)
 
     def fits(x: str, y: str):
@@ -197,7 +207,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 
     pairs = written(buckets.where("node <> centre").where(fits("n", "centre_n")).select(*pair("node", "centre")).distinct(), "pairs")
     tested = pairs
-    links = written(_verified(pairs, known, sets, percent, bands, rows_per_band), "found")
+    links = written(_verified(pairs, known, sets, percent, bands, rows_per_band), "found").unionByName(own)
     labels = components(links)
     open_, centres = buckets.where("node <> centre").select("key", "node", "n"), 16
     while True:
@@ -217,9 +227,13 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         open_, centres = now.where("not centre").select("key", "node", "n"), 2 * centres
     for table in (buckets, known, sets, now):
         drop_written(table)
-    named = copies.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"))
-    alone = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()
-    return features.select("doc_id", "n", F.when(~alone, F.col("same")).alias("same")).join(named, "same", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    named = copies.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = named.select("node", "label").join(lowest, "label").select("node", "component_id")
+    empty = features.where("n = 0 and doc_id is not null").select("doc_id").distinct()
+    others = full.select("doc_id", "node").join(empty, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("node").alias("other"))
+    rows = features.select("doc_id", "n", "node").join(others, "doc_id", "left").select("doc_id", "n", F.coalesce("node", "other").alias("node"))
+    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4(documents: DataFrame) -> DataFrame:

@@ -158,6 +158,16 @@ def test_near_duplicates(spark, docs, nothing):
     assert len(rows) == 6 and all(r["kept"] for r in rows) and {r["component_id"] for r in rows} == {1, 2, None}
 
 
+def test_near_duplicates_of_each_text_of_a_document(spark):
+    one, two, three = text(120, 11), text(120, 12), text(120, 13)
+    rows = [(1, one), (1, two), (1, ""), (5, changed(one, 2, 1)), (6, changed(two, 2, 2)), (7, two), (8, three), (9, three), (9, changed(one, 3, 4)), (20, ""), (None, one)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = neardup.op4(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == len(rows)
+        assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, 1, i == 1) for i in (1, 5, 6, 7, 8, 9)} | {(20, 20, True), (None, None, True)}
+
+
 def test_many_near_duplicates_of_one(spark):
     """A hot group whose members are often below the threshold to one another, and one that shares a passage only."""
     base, shared = text(120, 5), text(80, 6)
