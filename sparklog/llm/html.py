@@ -1,6 +1,6 @@
 """Main text of web pages: a tolerant scan of the markup, and a host suffix array for what markup leaves open.
 
-Where a page has an article (an article or main element, else one named so), its blocks are the text, without excluded
+Where a page has an article with text in it (an article or main element, else one named so), its blocks are the text, without excluded
 parts: a page's markup says there what the article is, and repeated passages inside it belong to it. Pages without one are decided by the host suffix
 array: the token streams of a host's pages are concatenated and their suffixes sorted to the depth of ``MIN_TOKENS``;
 runs of at least that many tokens that occur on two pages or more are boilerplate, and the unique runs are kept.
@@ -107,11 +107,10 @@ def _container(tag: str, attributes: str) -> int:
 
 
 def blocks(html: str) -> tuple[bool, list[str]]:
-    """Whether the page has an article, and the blocks of it, or without one of all that isn't excluded."""
+    """Whether the page has an article with text, and the blocks of it, or without one of all that isn't excluded."""
     stack: list[tuple[str, bool, int]] = []  # open elements: tag, whether text in them is excluded, what article it is in
     kept: tuple[list[str], list[str], list[str]] = ([], [], [])
     text: list[str] = []
-    best = 0
 
     def flush() -> None:
         if text:
@@ -160,13 +159,13 @@ def blocks(html: str) -> tuple[bool, list[str]]:
             continue
         out = out or _excluded(name, tag[4])
         inner = max(inner, 0 if out else _container(name, tag[4]))
-        best = max(best, inner)
         if not tag[4].rstrip().endswith("/") or name not in ("svg", "math"):
             stack.append((name, out, inner))
         if name in RAW:
             close_tag = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(html, at)
             at = close_tag.start() if close_tag else end
     flush()
+    best = max((level for level in range(3) if kept[level]), default=0)
     return best > 0, kept[best]
 
 

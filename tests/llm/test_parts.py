@@ -196,6 +196,20 @@ def test_blocks(page, expected):
     assert html.blocks(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<main></main><p>a</p><div>b</div>", (False, ["a", "b"])),
+        ("<article> <div class='ad'>x</div></article><nav>n</nav><p>a</p>", (False, ["a"])),
+        ("<article></article><div class='post-content'><p>a</p></div><p>b</p>", (True, ["a"])),
+        ("<article></article><main><p>a</p></main>b", (True, ["a"])),
+        ("<main></main>", (False, [])),
+    ],
+)
+def test_blocks_of_empty_articles(page, expected):
+    assert html.blocks(page) == expected
+
+
 def test_articles_of_the_tables(tiny):
     import duckdb
 
