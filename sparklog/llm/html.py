@@ -11,7 +11,8 @@ A host's pages are split into chunks of bounded size by a hash, with an array ea
 between these too, by hashes of windows of that many tokens, so that the split doesn't change the result.
 
 Excluded: head, scripts, styles, menus, page headers and footers, sidebars, forms, embedded objects, hidden elements, and
-elements whose class, id or role names them an advert, notice, menu, comment area and the like. Unclosed elements end
+elements whose class, id or role names them an advert, notice, menu, comment area and the like; in an article only a whole
+class or id or a known compound does so, and ids of headings and sections don't. Unclosed elements end
 where HTML lets them; a page cut off in a tag loses that tag only.
 
 Null and empty html gives an empty text. Urls without a host, null ones too, are one host. Rows that repeat give equal rows and count as one
@@ -62,6 +63,10 @@ EXCLUDED_NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar sidebar sidebars aside masthead header footer comment comments disqus respond replies reply "
     "share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay login signup search widget widgets copyright skip".split()
 )
+#: What a compound of an excluded name may have besides in an article: "ad-slot-2" is an advert, "related-work" isn't.
+COMPOUNDS = frozenset("area bar block box button buttons container form icons item items link links list posts slot unit wrap wrapper".split())
+#: In an article, ids of these name what the text is about.
+TOPICS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 #: Elements that are the page or the article itself, whatever their names say.
 KEPT_WHOLE = frozenset(["html", "body", "article", "main"])
 ARTICLES = frozenset(["article", "main"])
@@ -74,7 +79,18 @@ WINDOWS = arrow_schema(host=pa.string(), row=pa.int64(), page=pa.int64(), at=pa.
 TEXTS = arrow_schema(row=pa.int64(), page_id=pa.int64(), url=pa.string(), text=pa.string())
 
 
-def _excluded(tag: str, attributes: str) -> bool:
+def _named_excluded(value: str, inside: bool) -> bool:
+    """Whether a class or id has an excluded name: outside articles as any part, in them as a whole token or a known compound."""
+    if not inside:
+        return not EXCLUDED_NAMES.isdisjoint(_NAMES.findall(value))
+    for token in value.split():
+        parts = _NAMES.findall(token)
+        if not EXCLUDED_NAMES.isdisjoint(parts) and all(p in EXCLUDED_NAMES or p in COMPOUNDS or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _excluded(tag: str, attributes: str, inside: bool) -> bool:
     if tag in EXCLUDED:
         return True
     if not attributes or tag in KEPT_WHOLE:
@@ -82,7 +98,7 @@ def _excluded(tag: str, attributes: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
-            if not EXCLUDED_NAMES.isdisjoint(_NAMES.findall(value)):
+            if not (inside and name == "id" and tag in TOPICS) and _named_excluded(value, inside):
                 return True
         elif name == "role":
             if value.strip() in EXCLUDED_ROLES:
@@ -157,7 +173,7 @@ def blocks(html: str) -> tuple[bool, list[str]]:
         out, inner = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if name in VOID:
             continue
-        out = out or _excluded(name, tag[4])
+        out = out or _excluded(name, tag[4], inner > 0)
         inner = max(inner, 0 if out else _container(name, tag[4]))
         if not tag[4].rstrip().endswith("/") or name not in ("svg", "math"):
             stack.append((name, out, inner))

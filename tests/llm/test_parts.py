@@ -210,6 +210,25 @@ def test_blocks_of_empty_articles(page, expected):
     assert html.blocks(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ("<h2 id='related-work'>x</h2>", True),
+        ("<section id='search-methods'>x</section>", True),
+        ("<section id='comments'>x</section>", True),
+        ("<div class='social-history'>x</div>", True),
+        ("<p class='skip-list_header-file'>x</p>", True),
+        ("<div class='big ad'>x</div>", False),
+        ("<div class='ad-slot-2'>x</div>", False),
+        ("<div class='related-posts'>x</div>", False),
+        ("<div id='share_buttons'>x</div>", False),
+        ("<section class='cookie-notice'>x</section>", False),
+    ],
+)
+def test_names_in_an_article(part, kept):
+    assert html.blocks(f"<article><p>a</p>{part}</article>") == (True, ["a", "x"] if kept else ["a"])
+
+
 def test_articles_of_the_tables(tiny):
     import duckdb
 
