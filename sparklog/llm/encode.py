@@ -6,7 +6,9 @@ run of Latin letters that an ASCII sign or digit follows. The ids of a text are
 distinct chunk needs to be encoded once; new chunks of letters alone are encoded many at a time, and told apart by their
 first or last tokens. Where the tokenizer drops white space, chunks do without it; where it folds
 case too, texts up to U+00FF, which its other normalisation leaves alone, are folded before. A tokenizer of another kind,
-and a text with control characters that Python takes for white space and the patterns don't, are encoded whole.
+a text that holds a special token's string (which the library takes for that token), and a text with control characters
+that Python takes for white space and the patterns don't, are encoded whole. So the ids are always those of the plain
+call ``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def _kind(path: str) -> str | None:
     model = j["model"]
     if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or j.get("post_processor"):
         return None
-    if any(not t["special"] for t in j["added_tokens"]):
+    if any(not t["special"] or t["normalized"] for t in j["added_tokens"]):
         return None
     pre, norm = j["pre_tokenizer"], j["normalizer"]
     if norm is None and pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
@@ -50,14 +52,13 @@ def _kind(path: str) -> str | None:
 
 
 class Encoder:
-    """Texts to arrays of ids; strings of special tokens in a text are ordinary text."""
+    """Texts to arrays of ids, those of the library's plain call."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         #: 16-bit ids where they hold all, to keep what is stored small.
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -67,6 +68,7 @@ class Encoder:
         if self.kind:
             for token, i in self.tokenizer.get_vocab().items():
                 self.marks[i] = _MARK[self.kind](token)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
@@ -90,12 +92,13 @@ class Encoder:
         return out
 
     def _chunks(self, text: str) -> list[str]:
-        if self.kind is None or _ODD.search(text):
+        low = text.lower()
+        if self.kind is None or _ODD.search(text) or any(t in low for t in self.special):
             return [text]
         if self.kind == "words":
             try:
                 text.encode("latin-1")
-                text = text.lower()
+                text = low
             except UnicodeEncodeError:
                 pass
         return _CHUNK[self.kind].findall(text)

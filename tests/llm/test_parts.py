@@ -74,10 +74,11 @@ def test_chunks_give_the_ids_of_the_whole_text(name):
 
     e, whole, rng = encode.Encoder(public_tokenizers.path(name)), brute.tokenizer(name), random.Random(3)
     assert e.kind
-    parts = [*"aBcé'st dÀ\n\t   .,!?12٣дж中́̀ ſ\x1c\x85 ²<|>_-ΣσİIµß", "'s", "'ll", " the", "<|endoftext|>", "\n\n", "hello world "]
+    parts = [*"aBcé'st dÀ\n\t   .,!?12٣дж中́̀ ſ\x1c\x85 ²<|>_-ΣσİIµß", "'s", "'ll", " the", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "\n\n", "hello world "]
     texts = ["".join(rng.choices(parts, k=rng.randrange(15))) for _ in range(3000)] + [None, ""]
     for text, ids in zip(texts, e.encode(texts)):
         assert ids.tolist() == whole(text), text
+    assert e.encode(["a <|endoftext|> b"])[0].tolist().count(e.tokenizer.token_to_id("<|endoftext|>")) == 1
 
 
 @given(st.lists(st.integers(0, 40), max_size=30), st.integers(1, 5), st.integers(1, 6))
