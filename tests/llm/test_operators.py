@@ -337,3 +337,18 @@ def test_pages(spark):
         assert got[100] == [nav, nav] and got[101] == got[102] == [""] and got[103] == ["hello&"] and got[None] == ["free"]
         assert sum(map(len, got.values())) == len(rows)
     assert html.op2(df.limit(0)).count() == 0
+
+
+def test_menus_in_articles(spark):
+    """Links in an article go if the host's other pages have them too, unless prose is around them; else they stay."""
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>{t}</a>" for i, t in enumerate("Home News Sport Weather Travel Money Health Food".split())) + "</ul>"
+    prose = "<p>A sentence that every article of this host has, word for word, once.</p>"
+    rows = [(i, f"http://a.com/{i}", f"<article><h1>t{i}</h1>{menu}<p>{' '.join(f'w{i}x{j}' for j in range(12))}</p>{prose}<p>{''.join(f'<a>l{i}x{j}</a> ' for j in range(9))}</p></article>") for i in range(12)]
+    rows += [(50, "http://b.com/", f"<article><p>x</p>{menu}</article>"), (51, "http://a.com/51", f"<article><p>y <a>{'Home News Sport Weather Travel Money Health Food'}</a></p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = "Home News Sport Weather Travel Money Health Food"
+    for chunk in (1 << 21, 60):
+        got = {r["page_id"]: r["text"] for r in html.main_text(df, chunk_tokens=chunk).collect()}
+        for i in range(12):
+            assert got[i] == f"t{i} {' '.join(f'w{i}x{j}' for j in range(12))} A sentence that every article of this host has, word for word, once. {' '.join(f'l{i}x{j}' for j in range(9))}"
+        assert got[50] == f"x {names}" and got[51] == f"y {names}"
