@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (one machine), a temporary folder takes its place."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder on one machine, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparklog-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
