@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, small_batches, text_slices
+from .common import arrow_map, arrow_schema, checked, text_slices
 
 #: Families of languages by code; of those that share a writing system, relatives are hardest to tell apart.
 FAMILIES = {
@@ -187,13 +187,18 @@ def op5(documents: DataFrame) -> DataFrame:
 
 
 def known_language(documents: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents, with all their columns, whose language is found with at least that score. Nothing is shuffled."""
+    """The documents, with all their columns, whose language is found with at least that score; where nothing is labelled and
+    so no language can be told, all that have a letter. Nothing is shuffled."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, off in text_slices(batch, "text", rows=ROWS):
                 langs, score = _predicted(rows, raw, off, shared.value)
-                yield rows.filter(pa.array(((langs != UNKNOWN) & (score >= least)).astype(bool)))
+                if shared.value is None:
+                    keep = [has_letter(raw[a:b]) for a, b in zip(off[:-1], off[1:])]
+                else:
+                    keep = ((langs != UNKNOWN) & (score >= least)).astype(bool)
+                yield rows.filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(documents).mapInArrow(run, documents.schema)
+    return arrow_map(documents, run, documents.schema)
