@@ -3,11 +3,12 @@
 A record is framed as in the TFRecord format: the payload's length (u64), the length's masked CRC-32C, the payload,
 the payload's masked CRC-32C, all little-endian. A payload is a document's ids, as u2 or u4. Shards hold ranges of
 doc_id, in order. Beside each shard, an index of fixed rows (doc_id i8, byte offset u8, count of ids u8) lets a reader
-fetch any record, in any order, without a scan. A shard and its index are written under a name of the attempt's own and
-then renamed, so lost or repeated tasks leave whole files only.
+fetch any record, in any order, without a scan. A shard and its index are one attempt's own: their name holds the
+attempt, and the row that the attempt returns tells which pair counts. What attempts that failed, or ran besides, have
+left is removed at the end, and is never read.
 
-Null and empty texts give a record with the end id alone. Rows that repeat a doc_id, in the order of their texts, and a
-null doc_id (first, written as the least integer, marked in the index) keep a record each. Other columns are left aside.
+Null and empty texts give a record with the end id alone. Rows that repeat a doc_id, in the order of a hash of their texts, and a
+null doc_id (first, written as the least integer, marked in the index) keep a record each; shards may part them. Other columns are left aside.
 An empty table gives no shard. Ids of the tokenizer must fit the width.
 """
 
@@ -26,6 +27,8 @@ from .common import arrow_map, arrow_schema, checked, new_folder, spread
 from .encode import encoder
 
 NULL_ID = -(1 << 63)
+#: Bytes of documents, as they are stored, for which there is a shard of their own.
+SHARD_BYTES = 128 << 20
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("count", "<u8")])
 SHARDS = arrow_schema(shard=pa.int64(), path=pa.string(), low=pa.int64(), n_docs=pa.int64(), n_ids=pa.int64(), width=pa.int32())
 RECORDS = arrow_schema(doc_id=pa.int64(), start=pa.int64(), ids=pa.binary())
@@ -132,7 +135,7 @@ def _writer(folder: str, path: str, end: int):
         enc = encoder(path)
         shard = TaskContext.get().partitionId()
         files, root = filesystem(folder)
-        name, mine = f"{root}/{shard:06d}", f"{root}/_{shard:06d}-{uuid.uuid4().hex}"
+        name = f"{shard:06d}-{uuid.uuid4().hex}"
         at, index, n_ids = 0, [], 0
         out = None
         for batch in batches:
@@ -148,40 +151,55 @@ def _writer(folder: str, path: str, end: int):
                 n_ids += int(part["count"].sum())
                 index.append(part.tobytes())
                 if out is None:
-                    out = files.open_output_stream(f"{mine}.rec")
+                    out = files.open_output_stream(f"{root}/{name}.rec")
                 out.write(b"".join(done))
         if out is None:
             return
         out.close()
         rows = b"".join(index)
-        with files.open_output_stream(f"{mine}.idx") as f:
+        with files.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(rows)
-        for kind in ("idx", "rec"):
-            files.move(f"{mine}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{shard:06d}", "low": 0, "n_docs": len(rows) // INDEX.itemsize, "n_ids": n_ids, "width": enc.dtype.itemsize}], schema=SHARDS)
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{name}", "low": 0, "n_docs": len(rows) // INDEX.itemsize, "n_ids": n_ids, "width": enc.dtype.itemsize}], schema=SHARDS)
 
     return run
 
 
+def shards_for(documents: DataFrame) -> int:
+    """As many shards as the stored size of the documents asks for, where it is known, and the session's partitions at least."""
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(spread(documents), -(-size // SHARD_BYTES) if size < 1 << 60 else 0)
+
+
 def write_records(documents: DataFrame, tokenizer: str, end: int, folder: str | None = None) -> DataFrame:
     """Encode and write all documents; a row for each shard: shard, path, low (ids in the shards before it), n_docs, n_ids, width.
 
-    Documents are range-partitioned by doc_id. The driver sees one row for each shard, so no more than partitions.
+    Documents are range-partitioned by doc_id and a hash of the text. The driver sees one row for each shard.
     """
     spark = documents.sparkSession
     folder = folder or new_folder(spark, "records")
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
-    docs = checked(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = docs.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = checked(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = docs.repartitionByRange(shards_for(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     rows, low = [], 0
     for r in sorted(arrow_map(ordered, _writer(folder, tokenizer, end), SHARDS).collect(), key=lambda r: r["shard"]):
         rows.append((*(r[c] for c in ("shard", "path")), low, r["n_docs"], r["n_ids"], r["width"]))
         low += r["n_ids"]
+    remove_others(folder, {r[1].rsplit("/", 1)[1] for r in rows})
     kinds = {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.int32(): T.IntegerType()}
     return spark.createDataFrame(rows, T.StructType([T.StructField(f.name, kinds[f.type]) for f in SHARDS]))
 
 
+def remove_others(folder: str, names: set[str]) -> None:
+    """Remove the files of a folder that no shard has."""
+    from pyarrow import fs
+
+    files, root = filesystem(folder)
+    for info in files.get_file_info(fs.FileSelector(root)):
+        if info.base_name.rsplit(".", 1)[0] not in names:
+            files.delete_file(info.path)
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard in batch.to_pylist():
