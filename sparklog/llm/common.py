@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import shared_folder as shared_dir
 
@@ -62,15 +64,32 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same DataFrame; its session is set to batches of few rows, unless it has a setting of its own."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """The same DataFrame; its session gets batches of few rows if nobody has set their size in it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, str(BATCH_ROWS))
     return df
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: pa.Schema) -> DataFrame:
-    return small_batches(df).mapInArrow(fn, ddl(schema))
+def release() -> None:
+    """Give memory that a worker has freed back to the machine: workers outlive tasks, and there are several beside a heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Batches], Batches], schema: pa.Schema | StructType) -> DataFrame:
+    """mapInArrow; a worker's free memory goes back at the end of each task."""
+
+    def run(batches: Batches) -> Batches:
+        yield from fn(batches)
+        release()
+
+    return small_batches(df).mapInArrow(run, ddl(schema) if isinstance(schema, pa.Schema) else schema)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, ddl, small_batches, text_slices
+from .common import arrow_map, arrow_schema, checked, ddl, text_slices
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 but 0 is a difference of two members exactly once.
@@ -197,7 +197,7 @@ def _cleaned(docs: DataFrame, window: int, originals: bool) -> DataFrame:
     windows = arrow_map(near, _extended(window, period), RUNS)
     later = windows.withColumn("low", F.min("doc_id").over(key)).where("at < 0 or doc_id > low").groupBy("doc_id").agg(F.collect_set(place).alias("gone"))
     all_docs = by_doc.join(later, "doc_id", "left").select("doc_id", "text", "gone", *more).unionByName(nameless.withColumn("gone", F.lit(None).cast("array<int>")))
-    return small_batches(all_docs).select("doc_id", "text", "gone", *more).mapInArrow(_kept(window, originals), T.StructType([*ddl(KEPT).fields, *docs.select(*more).schema.fields]))
+    return arrow_map(all_docs.select("doc_id", "text", "gone", *more), _kept(window, originals), T.StructType([*ddl(KEPT).fields, *docs.select(*more).schema.fields]))
 
 
 def op6(documents: DataFrame) -> DataFrame:
