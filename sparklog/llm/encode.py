@@ -9,10 +9,14 @@ case too, texts up to U+00FF, which its other normalisation leaves alone, are fo
 a text that holds a special token's string (which the library takes for that token), and a text with control characters
 that Python takes for white space and the patterns don't, are encoded whole. So the ids are always those of the plain
 call ``encode(text, add_special_tokens=False)``.
+
+Chunks are kept in two generations of bounded size: when the young one is full it takes the old one's place, and what is
+met again in the old one moves to the young one. So frequent chunks stay, however many rare ones a corpus has.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -28,8 +32,8 @@ _JOIN = {"bytes": "", "words": " "}
 _MARK = {"bytes": lambda token: token.startswith("Ġ"), "words": lambda token: token.endswith("</w>")}
 _TOGETHER = 1000
 _ODD = re.compile("[\x1c-\x1f\x85]")
-#: Chunks that a worker keeps; beyond it starts afresh.
-CACHE = 1_500_000
+#: Bytes of memory that a generation of kept chunks may take, and what an entry takes besides its letters and ids.
+CACHE, ENTRY = 80 << 20, 190
 
 
 def _kind(path: str) -> str | None:
@@ -69,7 +73,9 @@ class Encoder:
             for token, i in self.tokenizer.get_vocab().items():
                 self.marks[i] = _MARK[self.kind](token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.room = CACHE
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,9 +111,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text (null: none), with the end id if one is given."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        get, tail = self.cache.get, b"" if end is None else array(self.code, [end]).tobytes()
+        on = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and looking for cycles among so many lists and tuples takes a fifth of the time
+        try:
+            return self._encode(texts, end)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None], end: int | None) -> list[np.ndarray]:
+        get, tail = self.young.get, b"" if end is None else array(self.code, [end]).tobytes()
         done: list[list[bytes | None]] = []
         missing: dict[str, list[tuple[list[bytes | None], int]]] = {}
         for text in texts:
@@ -118,11 +131,15 @@ class Encoder:
             for _ in range(parts.count(None)):
                 at = parts.index(None, at + 1)
                 missing.setdefault(chunks[at], []).append((parts, at))
-        for chunk, ids in self._ids(list(missing)).items():
+        again = {chunk: ids for chunk in missing if (ids := self.old.get(chunk)) is not None}
+        for chunk, ids in (again | self._ids([chunk for chunk in missing if chunk not in again])).items():
             if len(chunk) <= 64:
-                self.cache[chunk] = ids
+                self.young[chunk] = ids
+                self.room -= ENTRY + len(chunk) + len(ids)
             for parts, at in missing[chunk]:
                 parts[at] = ids
+        if self.room < 0:
+            self.old, self.young, self.room = self.young, {}, CACHE
         return [np.frombuffer(b"".join((*parts, tail)), self.dtype) for parts in done]  # type: ignore[arg-type]
 
 

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 
@@ -22,6 +23,7 @@ def crc(ids) -> int:
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@cache
 def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -79,6 +79,21 @@ def test_chunks_give_the_ids_of_the_whole_text(name):
     for text, ids in zip(texts, e.encode(texts)):
         assert ids.tolist() == whole(text), text
     assert e.encode(["a <|endoftext|> b"])[0].tolist().count(e.tokenizer.token_to_id("<|endoftext|>")) == 1
+    for i in range(0, len(texts), 100):
+        e.room = min(e.room, 500)  # full after each call: chunks come from the old generation, or are encoded anew
+        for text, ids in zip(texts[i : i + 100], e.encode(texts[i : i + 100])):
+            assert ids.tolist() == whole(text), text
+
+
+@given(st.lists(st.text(st.sampled_from("ab1.é \n\t\xa0\u2003 "), max_size=12), max_size=6))
+@settings(max_examples=300)
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_respect_white_space(name, texts):
+    import public_tokenizers
+
+    e, whole = encode.encoder(public_tokenizers.path(name)), brute.tokenizer(name)
+    for text, ids in zip(texts, e.encode(texts, 2)):
+        assert ids.tolist() == [*whole(text), 2], text
 
 
 @given(st.lists(st.integers(0, 40), max_size=30), st.integers(1, 5), st.integers(1, 6))
