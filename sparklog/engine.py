@@ -16,12 +16,13 @@ from .checks import check, check_literal
 from .errors import DatalogError
 from .functions.canonical import as_kind
 from .operators.relational import select_constants
-from .parser import parse, parse_one
+from .parser import SupportsRead, parse, parse_one
 from .plans import rewrite, strata
 from .plans.evaluate import Evaluation, Options
 from .provenance import Prover, Step
 from .sources.catalog import Catalog, External
-from .terms import Clause, Command, Const, Key, Kind, L, Literal, Var
+from .storage import Stored
+from .terms import Clause, Command, Const, Key, Kind, L, Literal, Var, free, variant
 
 log = logging.getLogger("sparklog")
 
@@ -36,13 +37,27 @@ class Engine:
         self.cache = Cache()
         self.version = 0
         self._lock = threading.RLock()
+        self._tables: list[Stored] = []
+
+    def close(self) -> None:
+        """Remove all tables and stored rows of this engine; its answers can't be read any more."""
+        with self._lock:
+            self.cache.clear([*map(free, self.cache.frames), *self.cache.answers])
+            while self._tables:
+                self._tables.pop().delete()
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     # Sources
 
     def register(self, name: str, source, columns=None, **options) -> External:
         """A DataFrame or a callable as a predicate; see Catalog.register."""
         external = self.catalog.register(name, source, columns, **options)
-        self._changed(external.key)
+        self._changed(free(external.key))
         return external
 
     # Program
@@ -50,10 +65,12 @@ class Engine:
     def _rules(self) -> dict[Key, list[Clause]]:
         return {k: list(v) for k, v in self.clauses.items()}
 
-    def _changed(self, key: Key) -> Report:
+    def _changed(self, pattern: Literal) -> Report:
         with self._lock:
             self.version += 1
-            return self.cache.clear(strata.dependants(self._rules(), key))
+            if not self.cache.frames and not self.cache.answers:
+                return Report()
+            return self.cache.clear(strata.affected(self._rules(), pattern))
 
     def add(self, what: Clause | Literal) -> None:
         """A fact or a rule; one that is there already changes nothing."""
@@ -62,7 +79,7 @@ class Engine:
             known = self.clauses.setdefault(clause.head.key, [])
             if clause not in known:
                 known.append(clause)
-                self._changed(clause.head.key)
+                self._changed(clause.head)
 
     def retract(self, what: Clause | Literal) -> bool:
         """Take back a fact or rule of the program; tells whether it was there."""
@@ -71,13 +88,13 @@ class Engine:
             known = self.clauses.get(clause.head.key, [])
             if clause not in known:
                 return False
+            self._changed(clause.head)
             known.remove(clause)
-            self._changed(clause.head.key)
             return True
 
-    def load(self, text: str) -> list[DataFrame]:
-        """Run a program's commands in order; the answers of its queries."""
-        return [df for df in map(self.apply, parse(text)) if df is not None]
+    def load(self, source: str | SupportsRead) -> list[DataFrame]:
+        """Run the commands of a program, a text or something with ``read``, in order; the answers of its queries."""
+        return [df for df in map(self.apply, parse(source)) if df is not None]
 
     def apply(self, command: Command) -> DataFrame | None:
         if command.kind is Kind.QUERY:
@@ -93,8 +110,8 @@ class Engine:
     def _evaluation(self) -> Evaluation:
         for key in self.catalog.expired():
             log.info("a source of %s/%d is stale", *key)
-            self._changed(key)
-        return Evaluation(self.spark, self.catalog, self._rules(), self.options, self.cache.frames)
+            self._changed(free(key))
+        return Evaluation(self.spark, self.catalog, self._rules(), self.options, self.cache.frames, self._tables)
 
     def _query(self, query: str | Literal) -> Literal:
         if isinstance(query, str):
@@ -114,17 +131,25 @@ class Engine:
             rules = Evaluation(self.spark, self.catalog, {query.key: [helper]}, self.options)
             return self._answer(rules, query)
         with self._lock:
-            evaluation = self._evaluation()
-            bound = {i: t.value for i, t in enumerate(query.terms) if isinstance(t, Const)}
-            if query.key not in self.cache.frames and bound:
-                if not evaluation.rules.get(query.key):  # a plain source: constants go to it
-                    evaluation.prepare(query.key)
-                    rows = evaluation.base(query.key, bound)
-                    if rows is not None:
-                        return self._texts(evaluation, query, rows)
-                elif self.options.magic and (component := self._recursive(evaluation, query.key)):
-                    return self._asked(evaluation, query, component)
-            return self._answer(evaluation, query)
+            evaluation, same = self._evaluation(), variant(query)
+            found = self.cache.find(same) if self.options.keep != "never" else None
+            if found is None:
+                found = self._asked_anew(evaluation, query)
+                if self.options.keep != "never":
+                    self.cache.keep(same, found, self.options.keep == "always")
+            return found
+
+    def _asked_anew(self, evaluation: Evaluation, query: Literal) -> DataFrame:
+        bound = {i: t.value for i, t in enumerate(query.terms) if isinstance(t, Const)}
+        if query.key not in self.cache.frames and bound:
+            if not evaluation.rules.get(query.key):  # a plain source: constants go to it
+                evaluation.prepare(query.key)
+                rows = evaluation.base(query.key, bound)
+                if rows is not None:
+                    return self._texts(evaluation, query, rows)
+            elif self.options.magic and (component := self._recursive(evaluation, query.key)):
+                return self._asked(evaluation, query, component)
+        return self._answer(evaluation, query)
 
     @staticmethod
     def _recursive(evaluation: Evaluation, key: Key) -> list[Key] | None:
@@ -137,7 +162,7 @@ class Engine:
         every = {k: list(v) for k, v in evaluation.rules.items()}
         for k, facts in evaluation.facts.items():
             every.setdefault(k, []).extend(facts)
-        return self._answer(Evaluation(self.spark, self.catalog, every | rules, self.options, dict(self.cache.frames)), goal)
+        return self._answer(Evaluation(self.spark, self.catalog, every | rules, self.options, dict(self.cache.frames), self._tables), goal)
 
     def _answer(self, evaluation: Evaluation, query: Literal) -> DataFrame:
         return self._texts(evaluation, query, evaluation.frame(query.key))
@@ -162,6 +187,12 @@ class Engine:
         rows = [tuple(r) if query.terms else () for r in self.ask(query).collect()]
         return render.results(query.predicate, rows)
 
+    def lines(self, query: str | Literal) -> DataFrame:
+        """The answers as facts, one in a row (line), written where the rows are; unlike ``text`` for answers of any size."""
+        query = self._query(query)
+        df = self.ask(query)
+        return df.select(render.fact_column(query.predicate, [F.col(c) for c in df.columns] if query.terms else []).alias("line"))
+
     # Proofs
 
     def steps(self, fact: str | Literal) -> list[Step]:
@@ -175,6 +206,15 @@ class Engine:
     def proof(self, fact: str | Literal) -> str:
         return "".join(f"{s}\n" for s in self.steps(fact))
 
+    def proofs(self, fact: str | Literal) -> DataFrame:
+        """Every way in which a fact is known by one step, in a row: how ("fact", "external", "rule"), rule, line (with the
+        premises). The rows are computed where the data are."""
+        fact = self._query(fact)
+        if not fact.ground or fact.is_member:
+            raise DatalogError(f"only a fact can be proved: {render.literal(fact)}")
+        with self._lock:
+            return Prover(self._evaluation()).all_steps(fact)
+
     def proof_frame(self, fact: str | Literal) -> DataFrame:
         """The proof's steps as rows: step, line, how."""
         rows = [(i, str(s), s.how) for i, s in enumerate(self.steps(fact))]
@@ -183,18 +223,21 @@ class Engine:
     # Kept results
 
     def invalidate(self, what: str | Literal | Iterable[Key]) -> Report:
-        """Forget what depends on a predicate, and read its sources anew when next asked for."""
-        if isinstance(what, str | Literal):
-            keys = [self._query(what).key]
-        else:
-            keys = list(what)
+        """Forget what depends on the rows of a literal, and read its sources anew when next asked for.
+
+        Frames of predicates go whole; of kept answers, those that a row of the literal may be among or behind.
+        """
+        patterns = [self._query(what)] if isinstance(what, str | Literal) else [free(k) for k in what]
         with self._lock:
-            cleared: list[Key] = []
-            for key in keys:
-                for external in self.catalog.of(key):
+            cleared: set[Key] = set()
+            answers: dict[Literal, None] = {}
+            for pattern in patterns:
+                for external in self.catalog.of(pattern.key):
                     external.forget()
-                cleared += self._changed(key).cleared
-            return Report(tuple(sorted(set(cleared))), len(self.cache))
+                report = self._changed(pattern)
+                cleared |= set(report.cleared)
+                answers |= dict.fromkeys(report.answers)
+            return Report(tuple(sorted(cleared)), len(self.cache), tuple(answers))
 
 
 class Sweeper:
@@ -208,7 +251,7 @@ class Sweeper:
     def _run(self) -> None:
         while not self._stop.wait(self.cycle):
             for key in self.engine.catalog.expired():
-                self.engine._changed(key)
+                self.engine._changed(free(key))
 
     def __enter__(self) -> Sweeper:
         self._thread.start()

@@ -11,6 +11,8 @@ class ParseError(DatalogError):
     def __init__(self, message: str, line: int, column: int) -> None:
         super().__init__(f"line {line}, column {column}: {message}")
         self.line, self.column = line, column
+        #: The commands before the one that is wrong.
+        self.commands: list = []
 
 
 class UnsafeClause(DatalogError):

@@ -30,15 +30,26 @@ def schema_of(kinds: list[str]) -> T.StructType:
 
 @dataclass
 class Options:
+    """keep: whether rows of answers are stored: "never", "repeated" (from the second time that a query is asked; a query
+    that is asked once pays nothing) or "always" (from the first).
+    """
+
     max_rounds: int = 10_000
     doubling: bool = True
     magic: bool = True
+    keep: str = "repeated"
+
+    def __post_init__(self) -> None:
+        if self.keep not in ("never", "repeated", "always"):
+            raise ValueError("keep is never, repeated or always")
 
 
 class Evaluation:
     """All frames of one program version. Rules hold facts too, as clauses without a body."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, rules: Mapping[Key, list[Clause]], options: Options, frames: dict[Key, DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, catalog: Catalog, rules: Mapping[Key, list[Clause]], options: Options, frames: dict[Key, DataFrame] | None = None, tables: list[Stored] | None = None) -> None:
+        """tables: gets every table that is written, for whoever removes them."""
+        self.tables = [] if tables is None else tables
         self.spark, self.catalog, self.options = spark, catalog, options
         self.facts: dict[Key, list[Clause]] = {k: [c for c in v if not c.body and c.head.ground] for k, v in rules.items()}
         self.rules: dict[Key, list[Clause]] = {k: [c for c in v if c.body or not c.head.ground] for k, v in rules.items()}
@@ -101,9 +112,19 @@ class Evaluation:
                 self.frames[component[0]] = out.distinct() if rules else out
         return self.frames[key]
 
-    def _rows(self, literal, _place: int) -> DataFrame:
+    def _rows(self, literal, _place: int = 0) -> DataFrame:
+        """The rows of a literal's predicate; a source that wants bound arguments gets the literal's constants."""
+        bound = {i: t.value for i, t in enumerate(literal.terms) if isinstance(t, Const)}
+        if bound and not self.rules.get(literal.key) and any(e.bound_calls for e in self.catalog.of(literal.key)):
+            rows = self.base(literal.key, bound)
+            assert rows is not None
+            return rows
         return self.frames[literal.key]
 
+    def _stored(self, key: Key) -> Stored:
+        self.tables.append(Stored(self.spark, schema_of(self.kinds[key])))
+        return self.tables[-1]
+
     def _union(self, key: Key, rules: list[Clause]) -> DataFrame:
         out = self.base(key)
         for clause in rules:
@@ -123,10 +144,10 @@ class Evaluation:
                 rules = {component[0]: closure}
         for key in {b.key for k in component for c in rules[k] for b in c.body if not b.is_member} - inside:
             if self.rules.get(key) and key not in self.stored:  # a derived predicate would be computed anew in each round
-                self.stored[key] = Stored(spark, schema_of(self.kinds[key]))
+                self.stored[key] = self._stored(key)
                 self.stored[key].add(self.frames[key])
                 self.frames[key] = self.stored[key].all()
-        stored = {k: Stored(spark, schema_of(self.kinds[k])) for k in component}
+        stored = {k: self._stored(k) for k in component}
         for key in component:
             start = self._union(key, [c for c in rules[key] if not any(b.key in inside for b in c.body)])
             stored[key].add(start.distinct())
@@ -136,6 +157,8 @@ class Evaluation:
             rounds += 1
             if rounds > self.options.max_rounds:
                 raise NoFixpoint(f"{component} needs more than {self.options.max_rounds} rounds")
+            for s in stored.values():
+                s.compact()
             fresh = {k: s.last() for k, s in stored.items()}
             full = {k: s.all() for k, s in stored.items()}
             added = {}
@@ -147,7 +170,7 @@ class Evaluation:
 
                     def rows(literal, i: int, place=place) -> DataFrame:
                         if literal.key not in inside:
-                            return self.frames[literal.key]
+                            return self._rows(literal)
                         return fresh[literal.key] if i == place else full[literal.key]
 
                     part = compile_clause(spark, clause, rows, self.kinds, first=place)

@@ -1,7 +1,8 @@
 """Proofs of facts: a rule and the premises under which it gives the fact, down to facts and sources.
 
 In a recursive component a premise must have been found in an earlier round than the fact, so proofs never go in circles.
-Of all proofs, that of the first rule and the smallest bindings is taken. The driver walks; each step is one small query.
+Of all proofs, that of the first rule and the smallest bindings (as texts, of variables in order of first use) is taken. The
+driver walks; each step is one small query. All last steps of a fact are one plan that isn't collected.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .operators.relational import select_constants
 from .plans import strata
 from .plans.compiler import bindings
 from .plans.evaluate import Evaluation
-from .terms import Clause, Const, Key, Literal, SetTerm, Var
+from .terms import Clause, Const, Key, Literal, SetTerm, Var, substitute
 
 
 @dataclass(frozen=True)
@@ -37,11 +38,6 @@ class Step:
         return f"{render.literal(self.literal)}.{note}"
 
 
-def _substitute(literal: Literal, values: dict[str, str]) -> Literal:
-    terms = tuple(Const(values[t.name]) if isinstance(t, Var) and t.name in values else t for t in literal.terms)
-    return Literal(literal.predicate, terms, literal.negated)
-
-
 class Prover:
     def __init__(self, evaluation: Evaluation) -> None:
         self.e = evaluation
@@ -68,8 +64,8 @@ class Prover:
     def _holds(self, df: DataFrame | None, fact: Literal) -> bool:
         return df is not None and not select_constants(df, self.e.kinds[fact.key], fact).isEmpty()
 
-    def _bindings(self, clause: Clause, fact: Literal, before: int | None) -> dict[str, str] | None:
-        """The smallest binding of the clause's variables that gives the fact."""
+    def _frame(self, clause: Clause, fact: Literal, before: int | None) -> tuple[dict[str, str], list[str], DataFrame] | None:
+        """The variables that the fact binds, the other ones, and the bindings of these (x0, x1, ... as texts) that give the fact."""
         values: dict[str, str] = {}
         for t, c in zip(clause.head.terms, fact.terms):
             assert isinstance(c, Const)
@@ -78,7 +74,7 @@ class Prover:
                     return None
             elif t != c:
                 return None
-        body = tuple(_substitute(b, values) for b in clause.body)
+        body = tuple(substitute(b, values) for b in clause.body)
         inside = {k for c in self.e.prepare(fact.key) if fact.key in c for k in c}
 
         def rows(literal: Literal, _place: int) -> DataFrame:
@@ -91,12 +87,38 @@ class Prover:
         for b in body:
             if not b.is_member:
                 self.e.frame(b.key)
-        variables = sorted({v for b in body for v in b.variables})
+        variables = list(dict.fromkeys(v for b in body for v in b.variables))  # in order of first use, which no fresh name changes
         frame = bindings(self.e.spark, Clause(clause.head, body), rows, self.e.kinds, set(variables))
         columns = [as_kind(F.col(frame.names[v]), frame.kinds[v], "string").alias(f"x{i}") for i, v in enumerate(variables)]
-        df = frame.df.select(*columns) if columns else frame.df
-        found = df.orderBy(*df.columns).limit(1).collect()
-        return values | dict(zip(variables, found[0])) if found else None
+        return values, variables, frame.df.select(*columns) if columns else frame.df.limit(1)
+
+    def _bindings(self, clause: Clause, fact: Literal, before: int | None) -> dict[str, str] | None:
+        """The smallest binding of the clause's variables that gives the fact."""
+        found = self._frame(clause, fact, before)
+        if found is None:
+            return None
+        values, variables, df = found
+        first = df.orderBy(*df.columns).limit(1).collect()
+        return values | dict(zip(variables, first[0])) if first else None
+
+    def all_steps(self, fact: Literal) -> DataFrame:
+        """Every last step of a proof of the fact, in a row: how, rule, line; as many as bodies of rules give the fact."""
+        out = self.e.spark.createDataFrame([], "how string, rule string, line string")
+        self.e.frame(fact.key)
+        if any(c.head == fact for c in self.e.facts.get(fact.key, ())):
+            out = out.unionByName(self.e.spark.createDataFrame([("fact", None, str(Step(fact, "fact")))], out.schema))
+        bound = {i: t.value for i, t in enumerate(fact.terms) if isinstance(t, Const)}
+        for external in self.e.catalog.of(fact.key):
+            there = external.rows(bound, self.e.catalog.clock()).limit(1)
+            out = out.unionByName(there.select(F.lit("external").alias("how"), F.lit(None).cast("string").alias("rule"), F.lit(str(Step(fact, "external"))).alias("line")))
+        for clause in self.e.rules.get(fact.key, ()):
+            found = self._frame(clause, fact, None)
+            if found is not None:
+                values, variables, df = found
+                body = tuple(substitute(b, values) for b in clause.body)
+                line = render.clause_column(Clause(fact, body), {v: F.col(f"x{i}") for i, v in enumerate(variables)})
+                out = out.unionByName(df.select(F.lit("rule").alias("how"), F.lit(render.clause(clause)).alias("rule"), line.alias("line")).distinct())
+        return out
 
     def step(self, fact: Literal) -> Step | None:
         """The last step of the fact's proof; None if it doesn't hold."""
@@ -116,7 +138,7 @@ class Prover:
         before = self._round(fact)
         for clause in self.e.rules.get(fact.key, ()):
             if (values := self._bindings(clause, fact, before)) is not None:
-                return Step(fact, "rule", clause, tuple(_substitute(b, values) for b in clause.body))
+                return Step(fact, "rule", clause, tuple(substitute(b, values) for b in clause.body))
         return None
 
     def steps(self, fact: Literal) -> Iterator[Step]:

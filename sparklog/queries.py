@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import render
 from .engine import Engine
+from .errors import DatalogError
 from .examples.access import AccessPolicy
-from .terms import Ask, C, InSet, L, Negate, V
+from .parser import parse
+from .terms import Ask, C, InSet, L, Literal, Negate, V, Var
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +119,67 @@ def _proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.proof_frame(L("local", *first)) if first else spark.createDataFrame([], "step int, line string, how string")
 
 
+def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every last step of the proofs of one fact."""
+    engine = engine_over(spark, sf_dir)
+    engine.load("at(N, R) :- nation(N, _, R). at(N, R) :- supplier(S, N), nation(N, _, R), region(R, _).")
+    return engine.proofs("at('3', '1')")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as program text, values that need quotes among them."""
+    engine = engine_over(spark, sf_dir)
+    engine.load("told(N, 'it''s', X) :- region(N, X). told(N, plain, X) :- nation(N, X, 1), region(1, _).")
+    return engine.lines("told(A, B, C)")
+
+
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of several forms, parsed, written and parsed again."""
+    text = "a(X):-b(X,'Y z'),!c(X),X in[p,'Q'].b('it''s','_1x').go.on:-go,!off. 'P q'(x, 1-2)?"
+    written = [render.command(c) for c in parse(text)]
+    assert [render.command(c) for c in parse(" ".join(written))] == written
+    return spark.createDataFrame(list(enumerate(written)), "place long, line string")
+
+
+def _safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether programs are taken, and why not."""
+    programs = ["p(X).", "p(X) :- q(Y).", "p(X) :- q(X), !r(X, Y).", "p(X) :- !q(X).", "!p(a).", "p(X) :- q(X), X in Y.", "p([a]).", "p(X) :- !r(X), q(X).", "p(X) :- X in [a].", "p(X) :- q(X)", "p(X) :- q(X), !p(X). p(a)?"]
+    found = []
+    for text in programs:
+        try:
+            Engine(spark).load(text)
+            found.append((text, "taken"))
+        except DatalogError as error:
+            found.append((text, type(error).__name__))
+    return spark.createDataFrame(found, "program string, outcome string")
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which answers stay when rows of a pattern have changed."""
+    engine = engine_over(spark, sf_dir)
+    engine.load("near(A, R) :- nation(A, _, R). far(A) :- nation(A, _, 2). none(R) :- region(R, _), at(A), !near(A, R). at(0).")
+    for query in ("near(A, 1)", "near(A, 2)", "near(A, R)", "far(A)", "none(1)", "none(2)"):
+        engine.ask(query)
+    engine.invalidate("nation(_, _, 1)")
+    left = [Literal(a.predicate, tuple(V("_") if isinstance(t, Var) else t for t in a.terms)) for a in engine.cache.answers]
+    return spark.createDataFrame([(render.literal(a),) for a in left], "kept string")
+
+
+def _bound_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that is a call gets the constants that a rule's body has for it."""
+    asked: list[dict[int, str]] = []
+
+    def orders(bound: dict[int, str]) -> DataFrame:
+        asked.append(bound)
+        df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+        return df.where(F.col("o_orderstatus") == bound[1]) if 1 in bound else df
+
+    engine = Engine(spark)
+    engine.register("o", orders, ["o_orderkey", "o_orderstatus"], bound_calls=True)
+    answer = engine.load("open(K) :- o(K, 'P'). open(K)?")[-1]
+    return answer.select("c0", F.lit("; ".join(sorted({f"{i}={v}" for b in asked for i, v in b.items()}))).alias("bound"))
+
+
 def _ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source that changes under the engine: what is seen before and after its time is over."""
     now = [0.0]
@@ -192,7 +256,41 @@ def _t(*columns: str) -> str:
     return ", ".join(f"CAST({c} AS VARCHAR) AS c{i}" for i, c in enumerate(columns))
 
 
+def _q(column: str) -> str:
+    """A value as a constant of program text."""
+    text = f"CAST({column} AS VARCHAR)"
+    return f"CASE WHEN regexp_full_match({text}, '[a-z0-9][A-Za-z0-9_-]*') THEN {text} ELSE '''' || replace({text}, '''', '''''') || '''' END"
+
+
+def _fact(predicate: str, *columns: str) -> str:
+    return f"'{predicate}(' || " + " || ', ' || ".join(map(_q, columns)) + " || ')'"
+
+
+_LOCAL = "customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey"
+_PREMISES = [
+    _fact("customer", "c_custkey", "c_nationkey", "c_mktsegment"),
+    _fact("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+    _fact("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"),
+    _fact("supplier", "s_suppkey", "s_nationkey"),
+]
+_PROOF_SQL = f"""WITH f AS (SELECT c_custkey AS c, s_suppkey AS s FROM {_LOCAL} ORDER BY 1, 2 LIMIT 1),
+b AS (SELECT {_fact("local", "c_custkey", "s_suppkey")} AS h, {", ".join(f"{p} AS p{i}" for i, p in enumerate(_PREMISES))} FROM {_LOCAL} JOIN f ON c_custkey = c AND s_suppkey = s
+ORDER BY CAST(c_nationkey AS VARCHAR), c_mktsegment, CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority, CAST(l_partkey AS VARCHAR), l_returnflag LIMIT 1)
+SELECT 0 AS step, h || ' :- ' || p0 || ', ' || p1 || ', ' || p2 || ', ' || p3 || '.' AS line, 'rule' AS how FROM b
+{" ".join(f"UNION ALL SELECT {i + 1}, p{i} || '. % from a source', 'external' FROM b" for i in range(4))}"""
+
 SQL: dict[str, str] = {
+    "q33_proof": _PROOF_SQL,
+    "q42_all_proofs": f"""SELECT DISTINCT 'rule' AS how, 'at(N, R) :- nation(N, _, R).' AS rule, 'at(3, 1) :- ' || {_fact("nation", "n_nationkey", "n_name", "n_regionkey")} || '.' AS line FROM nation WHERE n_nationkey = 3 AND n_regionkey = 1
+UNION SELECT 'rule', 'at(N, R) :- supplier(S, N), nation(N, _, R), region(R, _).', 'at(3, 1) :- ' || {_fact("supplier", "s_suppkey", "s_nationkey")} || ', ' || {_fact("nation", "n_nationkey", "n_name", "n_regionkey")} || ', ' || {_fact("region", "r_regionkey", "r_name")} || '.'
+FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 3 AND n_regionkey = 1""",
+    "q43_result_text": f"""SELECT 'told(' || {_q("r_regionkey")} || ', ''it''''s'', ' || {_q("r_name")} || ').' AS line FROM region
+UNION SELECT 'told(' || {_q("n_nationkey")} || ', plain, ' || {_q("n_name")} || ').' FROM nation WHERE n_regionkey = 1""",
+    "q44_clause_text": """SELECT CAST(place AS BIGINT) AS place, line FROM (VALUES (0, 'a(X) :- b(X, ''Y z''), !c(X), X in [''Q'', p].'), (1, 'b(''it''''s'', ''_1x'').'), (2, 'go.'), (3, 'on() :- go(), !off().'), (4, '''P q''(x, 1-2)?')) t(place, line)""",
+    "q45_safety": """SELECT * FROM (VALUES ('p(X).', 'UnsafeClause'), ('p(X) :- q(Y).', 'UnsafeClause'), ('p(X) :- q(X), !r(X, Y).', 'UnsafeClause'), ('p(X) :- !q(X).', 'UnsafeClause'), ('!p(a).', 'UnsafeClause'), ('p(X) :- q(X), X in Y.', 'ParseError'),
+('p([a]).', 'ParseError'), ('p(X) :- !r(X), q(X).', 'taken'), ('p(X) :- X in [a].', 'taken'), ('p(X) :- q(X)', 'ParseError'), ('p(X) :- q(X), !p(X). p(a)?', 'NotStratified')) t(program, outcome)""",
+    "q46_patterns": "SELECT * FROM (VALUES ('near(_, 2)'), ('far(_)'), ('none(2)')) t(kept)",
+    "q47_bound_calls": f"SELECT DISTINCT {_t('o_orderkey')}, '1=P' AS bound FROM orders WHERE o_orderstatus = 'P'",
     "q06_join": f"SELECT DISTINCT {_t('c_custkey', 's_suppkey')} FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey",
     "q01_scan": f"SELECT DISTINCT {_t('r_regionkey', 'r_name')} FROM region",
     "q02_const_filter": f"SELECT DISTINCT {_t('n_nationkey', 'n_name', 'n_regionkey')} FROM nation WHERE n_regionkey = 1",
@@ -248,6 +346,12 @@ def queries() -> dict[str, Query]:
         "q30_assert_after_query": _after,
         "q32_api": _api,
         "q33_proof": _proof,
+        "q42_all_proofs": _proofs,
+        "q43_result_text": _lines,
+        "q44_clause_text": _clauses,
+        "q45_safety": _safety,
+        "q46_patterns": _patterns,
+        "q47_bound_calls": _bound_calls,
         "q34_ttl": _ttl,
         "q39_builders": _builders,
         "q40_retract": _retracted,

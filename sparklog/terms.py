@@ -61,6 +61,44 @@ class Clause:
     body: tuple[Literal, ...] = ()
 
 
+def free(key: Key) -> Literal:
+    """The literal of a predicate that every row of it fits."""
+    return Literal(key[0], tuple(Var(f"#{i}") for i in range(key[1])))
+
+
+def variant(x: Literal) -> Literal:
+    """The literal with its variables numbered: literals that differ in the names of variables only give the same one."""
+    names = {v: Var(f"#{i}") for i, v in enumerate(x.variables)}
+    return Literal(x.predicate, tuple(names[t.name] if isinstance(t, Var) else t for t in x.terms), x.negated)
+
+
+def substitute(x: Literal, values: dict[str, str]) -> Literal:
+    """The literal with constants in the place of these variables."""
+    return Literal(x.predicate, tuple(Const(values[t.name]) if isinstance(t, Var) and t.name in values else t for t in x.terms), x.negated)
+
+
+def meet(a: Literal, b: Literal) -> dict[str, str] | None:
+    """The constants that a's variables get where a and b, whose variables have nothing to do with each other, are made
+    equal; None if they can't be."""
+    if a.key != b.key:
+        return None
+    joined: dict[object, object] = {}
+
+    def root(x: object) -> object:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for s, t in zip(a.terms, b.terms):
+        x, y = (root((side, z) if isinstance(z, Var) else z) for side, z in (("a", s), ("b", t)))
+        if x != y:
+            if isinstance(x, Const) and isinstance(y, Const):
+                return None
+            joined.update({y: x} if isinstance(x, Const) else {x: y})
+    found = {v: root(("a", Var(v))) for v in a.variables}
+    return {v: c.value for v, c in found.items() if isinstance(c, Const)}
+
+
 class Kind(Enum):
     ASSERT = "."
     QUERY = "?"

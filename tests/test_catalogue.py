@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from sparklog import parse
 from sparklog import queries as catalogue
+from sparklog.terms import Kind
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -29,7 +31,7 @@ def test_query(spark, duck, tiny, name):
 
 def test_proof_query(spark, tiny):
     lines = [r["line"] for r in catalogue.queries()["q33_proof"](spark, tiny).orderBy("step").collect()]
-    assert not lines or (lines[0].startswith("local(") and len(lines) == 5)
+    assert len(lines) == 5 and lines[0].startswith("local(") and {c.kind for c in parse(" ".join(x.replace(" % from a source", "") for x in lines))} == {Kind.ASSERT}
 
 
 def test_entry(spark):

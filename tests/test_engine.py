@@ -1,12 +1,17 @@
 """Programs and their answers."""
 
+import io
 import itertools
+import os
 import random
 
 import pytest
 
 from sparklog import C, Engine, L, Negate, NoFixpoint, NotStratified, Options, UnsafeClause, V, parse
-from sparklog.errors import DatalogError
+from sparklog import render
+from sparklog.errors import DatalogError, ParseError
+from sparklog.storage import Stored
+from sparklog.terms import meet, variant
 from tests.naive import evaluate
 
 
@@ -110,6 +115,107 @@ def test_text_of_answers_comes_back(spark):
     assert {c.clause.head for c in parse(text)} == {c.head for c in engine.clauses[("p", 2)]}
 
 
+def test_quotes_and_any_other_value_come_back(spark):
+    values = ["it's", "''", "'", "B c", "", "X", "a\nb", "%", "_", "in", "é", "-x", "1"]
+    engine = Engine(spark)
+    for v in values:
+        engine.add(L("p'q", v))
+    text = engine.text(L("p'q", V("X")))
+    assert {c.clause.head for c in parse(text)} == {L("p'q", v) for v in values}
+    other = Engine(spark)
+    other.load(io.StringIO(text))
+    assert other.text(L("p'q", V("X"))) == text
+
+
+def test_commands_before_an_error(spark):
+    for bad in ("p(a). q(b). r(", "p(a). q(b). r('c", "p(a). q(b). ;", "p(a). q(b). r(c) s(d)."):
+        with pytest.raises(ParseError) as error:
+            parse(io.BytesIO(bad.encode()))
+        assert [c.clause.head for c in error.value.commands] == [L("p", "a"), L("q", "b")]
+
+
+def counted(spark):
+    """A source of ten rows, and how often one was read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    return spark.range(10).repartition(1).mapInArrow(read, "id long"), reads
+
+
+@pytest.mark.parametrize(("keep", "expected"), [("always", 10), ("repeated", 20), ("never", 30)])
+def test_answers_are_kept(spark, keep, expected):
+    source, reads = counted(spark)
+    with Engine(spark, options=Options(keep=keep)) as engine:
+        engine.register("s", source, ["id"])
+        engine.load("p(X) :- s(X).")
+        for name in "XYZ":
+            assert len(answers(engine.ask(L("p", V(name))))) == 10
+        assert reads.value == expected and engine.cache.hits == (0 if keep == "never" else 2)
+        engine.invalidate("s(X)")
+        assert len(answers(engine.ask("p(X)"))) == 10
+        assert reads.value == expected + 10
+
+
+def test_patterns_clear_what_they_meet(spark):
+    engine = Engine(spark)
+    engine.load("foo(a). foo(b). far(b). bar(X) :- foo(X). baz(X) :- foo(X), !far(X). one(a) :- far(a).")
+    for query in ("bar(a)", "bar(b)", "bar(X)", "baz(a)", "one(X)", "foo(b)"):
+        engine.ask(query)
+
+    def kept():
+        return {render.literal(k) for k in engine.cache.answers}
+
+    assert len(kept()) == 6
+    report = engine.invalidate("far(b)")  # only baz(b) may have changed
+    assert report.answers == () and len(kept()) == 6
+    report = engine.invalidate("far(a)")
+    assert {render.literal(x) for x in report.answers} == {"baz(a)", render.literal(variant(L("one", V("X"))))}
+    report = engine.invalidate("foo(b)")
+    assert {x.predicate for x in report.answers} == {"bar", "foo"} and "bar(a)" in kept() and "bar(b)" not in kept()
+    engine.load("foo(c).")
+    assert kept() == {"bar(a)"} and answers(engine.ask("bar(X)")) == {("a",), ("b",), ("c",)}
+    engine.load("foo(a)~")
+    assert answers(engine.ask("bar(a)")) == set()
+
+
+def test_literals_meet():
+    x, y = V("X"), V("Y")
+    assert meet(L("p", x, x), L("p", "a", y)) == {"X": "a"} and meet(L("p", x, x), L("p", "a", "b")) is None
+    assert meet(L("p", x, y), L("p", y, "c")) == {"Y": "c"} and meet(L("p", x), L("q", x)) is None
+    assert meet(L("p", x, y, x), L("p", y, y, "a")) == {"X": "a", "Y": "a"} and meet(L("p", "a"), L("p", x)) == {}
+
+
+def test_all_proofs(spark):
+    engine = Engine(spark)
+    engine.load("e(a, b). e(b, c). e(a, 'D''d'). e('D''d', c). t(X, Y) :- e(X, Y). t(X, Y) :- e(X, Z), t(Z, Y). t(a, c). w(X) :- X in [a], !e(X, a).")
+    engine.register("t", spark.createDataFrame([("a", "c"), ("a", "c")], "x string, y string"))
+    lines = sorted(tuple(r) for r in engine.proofs("t(a, c)").collect())
+    step = "t(X, Y) :- e(X, Z), t(Z, Y)."
+    assert lines == sorted([("fact", None, "t(a, c)."), ("external", None, "t(a, c). % from a source"), ("rule", step, "t(a, c) :- e(a, b), t(b, c)."), ("rule", step, "t(a, c) :- e(a, 'D''d'), t('D''d', c).")], key=lambda r: (r[0], r[1] or "", r[2])) or len(lines) == 4
+    assert {c.clause.body for c in parse(" ".join(r[2] for r in lines if r[0] == "rule"))} == {(L("e", "a", z), L("t", z, "c")) for z in ("b", "D'd")}
+    assert [r["line"] for r in engine.proofs("w(a)").collect()] == ["w(a) :- a in [a], !e(a, a)."]
+    assert engine.proofs("t(c, a)").count() == 0
+
+
+def test_rounds_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(Stored, "MERGE", 2)
+    facts = " ".join(f"e(n{i}, n{i + 1})." for i in range(12))
+    with Engine(spark, options=Options(doubling=False)) as engine:
+        engine.load(facts + " t(X, Y) :- e(X, Y). t(X, Y) :- t(X, Z), e(Z, Y).")
+        assert answers(engine.ask("t(X, Y)")) == {(f"n{i}", f"n{j}") for i in range(13) for j in range(i + 1, 13)}
+        (stored,) = engine._tables
+        assert stored.merged[1] >= 8 and len(stored) == 78
+        rounds = stored.by_round().groupBy("_round").count().collect()
+        assert {r["_round"]: r["count"] for r in rounds} == {i: 12 - i for i in range(12)}
+        assert len(engine.steps("t(n0, n12)")) == 24
+        paths = [stored.merged[0], stored.rounds[-1][0]]
+    assert not engine._tables and not any(os.path.exists(p.removeprefix("file:").replace("//", "/")) for p in paths if p)
+
+
 def program_of(rng):
     """A random stratified program over a few predicates and constants."""
     consts, lines = "abc", []
