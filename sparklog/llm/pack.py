@@ -1,14 +1,15 @@
 """Related-document packing: a nearest-neighbour graph, greedy paths that start at low degrees, windows along the paths.
 
-1. Each document is encoded once and stored with a sketch: the least hash of its id pairs in each of 8 bins.
-2. Graph: for 4 of the bins, all documents are sorted by that bin's hash, then by the next one's; each is linked with the
-   2 before it that share the hash, weighted by the share of equal bins. Each document keeps its 4 nearest. Sorting by
-   ranges that end in the row's number splits a group of any size over tasks, and no group lists its pairs.
-3. Paths: at first each document is a path. In rounds, two paths are joined where a link of their ends is the strongest that
-   either has, until the links between ends of different paths are few enough for one task. That one goes through what is
-   left: it starts at the unvisited end of the lowest degree and goes on to the nearest unvisited neighbour, until there is
-   none. No document is cut off from its links by a border, whatever the number of documents; each round's links and
-   joints are written tables.
+1. Each document is encoded once and stored with a sketch: the least hash of its id pairs in each of 16 bins.
+2. Graph: for each of 8 pairs of bins, all documents are sorted by the one bin's hash, then by the other's; each is linked
+   with the 2 before it that share the first, weighted by the number of equal bins. Each document keeps its 4 nearest.
+   Sorting by ranges that end in the row's number splits a group of any size over tasks, and no group lists its pairs.
+3. Paths: at first each document is a path. In rounds, every path names the one at the other end of its strongest link (the
+   nearest, of those the one with an end of the lowest degree), and the trees of these form cells of a few paths each. In a
+   cell the greedy walk starts at the unvisited end of the lowest degree and goes on to the nearest unvisited neighbour, until
+   there is none; what it goes through becomes one path. When few links between ends of different paths are left, they
+   are one cell. What a task holds doesn't grow with the input, and no document is cut off from its links by a border. A
+   round leaves about a quarter of the links or less; its links and joints are written tables.
 4. Windows: documents lie along the paths, one path after the other, as one line of ids that is cut every ``length`` ids. Only the
    last sequence can be short, so padding is below one sequence, however many documents or paths there are.
 
@@ -31,12 +32,14 @@ from .common import arrow_map, arrow_schema, checked, drop_written, written
 from .encode import encoder
 
 LENGTH, END = 4096, 2
-BINS, TABLES, BEFORE, NEAREST = 8, 4, 2, 4
-#: What one task's walk holds: the links of so many documents.
-BLOCK = 50_000
+BINS, TABLES, BEFORE, NEAREST = 16, 8, 2, 4
+#: Links that one task's walk holds, and documents that one task places.
+WALK, PLACE = 10_000, 1_000_000
 
-TOKENS = arrow_schema(row=pa.int64(), doc_id=pa.int64(), n=pa.int64(), ids=pa.binary(), width=pa.int32(), sketch=pa.list_(pa.int64()))
+TOKENS = arrow_schema(row=pa.int64(), doc_id=pa.int64(), n=pa.int64(), ids=pa.binary(), width=pa.int32(), sketch=pa.list_(pa.int32()))
+KEYS = arrow_schema(table=pa.int32(), first=pa.int32(), second=pa.int32(), row=pa.int64(), bins=pa.binary())
 EDGES = arrow_schema(a=pa.int64(), b=pa.int64(), near=pa.int32())
+LINKS = arrow_schema(a=pa.int64(), b=pa.int64(), near=pa.int32(), degree=pa.int32())
 JOINTS = arrow_schema(path=pa.int64(), new=pa.int64(), sign=pa.int64(), plus=pa.int64(), n=pa.int64())
 PLACED = arrow_schema(row=pa.int64(), block=pa.int64(), before=pa.int64(), n=pa.int64())
 PIECES = arrow_schema(doc_id=pa.int64(), start=pa.int64(), length=pa.int64(), doc_tokens=pa.int64(), sequence_id=pa.int64(), offset=pa.int64(), ids=pa.binary())
@@ -50,11 +53,14 @@ def sketch(ids: list[np.ndarray]) -> np.ndarray:
     of = np.repeat(np.arange(len(ids)), n)
     same = of[:-1] == of[1:]
     pairs, of = pairs[same], of[:-1][same]
-    out = np.full(len(ids) * BINS, np.iinfo(np.int64).max, np.int64)
-    np.minimum.at(out, of * BINS + (pairs & np.uint64(BINS - 1)).astype(np.int64), (pairs >> np.uint64(24)).astype(np.int64))
+    empty = np.iinfo(np.int32).max
+    out = np.full(len(ids) * BINS, empty, np.int32)
+    np.minimum.at(out, of * BINS + (pairs & np.uint64(BINS - 1)).astype(np.int64), (pairs >> np.uint64(33)).astype(np.int32))
     out = out.reshape(-1, BINS)
     for _ in range(BINS - 1):
-        out = np.where(out == np.iinfo(np.int64).max, np.roll(out, -1, axis=1), out)
+        if not (out == empty).any():
+            break
+        out = np.where(out == empty, np.roll(out, -1, axis=1), out)
     return out
 
 
@@ -84,13 +90,23 @@ def _encoded(path: str, end: int):
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document (row, sketch) a row in each table: two bins to sort by, and a byte of each bin."""
+    for batch in batches:
+        s = batch.column(1).flatten().to_numpy().reshape(-1, BINS)
+        bins = np.ascontiguousarray((W.mix(s.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8))
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(s), [None, pa.py_buffer(bins)]).cast(pa.binary())
+        for table in range(TABLES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), table, np.int32)), pa.array(s[:, 2 * table]), pa.array(s[:, 2 * table + 1]), batch.column(0), raw], schema=KEYS)
+
+
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (table, first, row, sketch) with the rows just before them that share table and first."""
+    """Links of rows (table, first, row, bins) with the rows just before them that share table and first."""
     held: tuple[np.ndarray, ...] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1))
+        now = (*(batch.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS))
         now = tuple(np.concatenate(x) for x in zip(held, now)) if held else now
         old = len(held[0]) if held else 0
         table, first, row, s = now
@@ -99,98 +115,183 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[(table[at] == table[at - back]) & (first[at] == first[at - back]) & (row[at] != row[at - back])]
             if len(at):
                 near = (s[at] == s[at - back]).sum(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[at], row[at - back])), pa.array(np.maximum(row[at], row[at - back])), pa.array(near)], schema=EDGES)
+                for a, b in ((row[at], row[at - back]), (row[at - back], row[at])):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], schema=EDGES)
         held = tuple(x[-BEFORE:] for x in now)
 
 
-def walk(rows: list[int], edges: dict[int, list[tuple[int, int]]], across: dict[int, int] | None = None) -> list[int]:
-    """All rows in order of the greedy paths. edges: of a row, (nearness, other row); others that aren't here are passed over.
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges in order of a, in both directions, the nearest of each a, once each, with the number of its neighbours."""
+
+    def best(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, -near, a))
+        a, b, near = a[order], b[order], near[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, near = a[new], b[new], near[new]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), bool), a[1:] != a[:-1])))
+        degree = np.diff(np.append(first, len(a)))
+        take = np.arange(len(a)) - np.repeat(first, degree) < NEAREST
+        arrays = np.minimum(a, b), np.maximum(a, b), near, np.repeat(degree, degree).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x[take]) for x in arrays], schema=LINKS)
+
+    held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    for batch in batches:
+        now = tuple(np.concatenate((x, batch.column(i).to_numpy())) for i, x in enumerate(held))
+        end = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        held = tuple(x[end:] for x in now)  # the last a may go on
+        if end:
+            yield best(*(x[:end] for x in now))
+    yield best(*held)
+
+
+def paths(rows: list[int], edges: dict[int, list[tuple[int, int]]], across: dict[int, int] | None = None) -> list[list[int]]:
+    """The greedy paths through all rows. edges: of a row, (nearness, other row); others that aren't here are passed over.
 
     across: of an end of a path, the other one; of these two rows, that by which the path is entered is given.
     """
     here, across = set(rows), across or {}
-    out: list[int] = []
+    out: list[list[int]] = []
     waiting = [(sum(b in here for _, b in edges.get(r, ())), r) for r in rows]
     heapq.heapify(waiting)
     while waiting:
         at: int | None = heapq.heappop(waiting)[1]
+        if at in here:
+            out.append([])
         while at is not None and at in here:
             far = across.get(at, at)
             here -= {at, far}
-            out.append(at)
+            out[-1].append(at)
             at = max(((near, -b) for near, b in edges.get(far, ()) if b in here), default=(0, None))[1]
             at = None if at is None else -at
     return out
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All links that are left, in one partition, to the joints of their paths, which become one: path -1."""
+def walk(rows: list[int], edges: dict[int, list[tuple[int, int]]]) -> list[int]:
+    """All rows in order of the greedy paths."""
+    return [r for path in paths(rows, edges) for r in path]
+
+
+def _joints(links: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
+    """The joints of the paths that a cell's links walk through; each gets the smallest number in it."""
     edges: dict[int, list[tuple[int, int]]] = {}
-    ends: dict[int, tuple[int, int, int]] = {}  # of an end: path, place, documents of the path
-    by_path: dict[int, list[int]] = {}
+    size: dict[int, int] = {}  # of a path; its ends are 2 * path, and 2 * path + 1 if it has another
+    for s, path_a, tail_a, n_a, path_b, tail_b, n_b in links:
+        a, b, near = 2 * path_a + tail_a, 2 * path_b + tail_b, s >> NEAR
+        size[path_a], size[path_b] = n_a, n_b
+        edges.setdefault(a, []).append((near, b))
+        edges.setdefault(b, []).append((near, a))
+    across = {2 * p + tail: 2 * p + 1 - tail for p, n in size.items() if n > 1 for tail in (0, 1)}
+    for ends in paths([2 * p + tail for p, n in size.items() for tail in range(min(n, 2))], edges, across):
+        if len(ends) > 1:
+            new, before, n_new = min(ends) >> 1, 0, sum(size[e >> 1] for e in ends)
+            for end in ends:
+                n = size[end >> 1]
+                yield (end >> 1, new, -1, before + n - 1, n_new) if end & 1 else (end >> 1, new, 1, before, n_new)
+                before += n
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links in order of their cells (the first column) to the joints of their paths."""
+    cell, links, out = None, [], []
     for batch in batches:
-        x = batch.to_pydict()
-        for near, a, b, *of in zip(*(x[c] for c in ("near", "a", "b", "path_a", "at_a", "n_a", "path_b", "at_b", "n_b"))):
-            for row, other, end in ((a, b, of[:3]), (b, a, of[3:])):
-                if row not in ends:
-                    ends[row] = tuple(end)
-                    by_path.setdefault(end[0], []).append(row)
-                edges.setdefault(row, []).append((near, other))
-    across: dict[int, int] = {}
-    for path, rows in by_path.items():
-        _, at, n = ends[rows[0]]
-        if n > 1 and len(rows) == 1:  # the other end has no links: any number that is no row stands for it
-            rows.append(-2 - path)
-            ends[rows[1]] = path, n - 1 - at, n
-        across |= {rows[0]: rows[-1], rows[-1]: rows[0]}
-    out, before = [], 0
-    for row in walk(list(ends), edges, across):
-        path, at, n = ends[row]
-        out.append((path, -1, 1, before, n) if at == 0 else (path, -1, -1, before + n - 1, n))
-        before += n
+        for now, *link in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if now != cell:
+                out += _joints(links)
+                cell, links = now, []
+            links.append(tuple(link))
+        if len(out) > 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=JOINTS)
+            out = []
+    out += _joints(links)
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=JOINTS)
 
 
-def _moved(df: DataFrame, joints: DataFrame, path: str, at: str, n: str | None = None) -> DataFrame:
-    """The same rows with paths and places in them after joints."""
-    j = joints.select(F.col("path").alias(path), "new", "sign", "plus", F.col("n").alias("_n"))
-    df = df.join(j, path, "left").withColumn(at, F.coalesce(F.col("sign") * F.col(at) + F.col("plus"), at)).withColumn(path, F.coalesce("new", path))
-    return (df.withColumn(n, F.coalesce("_n", n)) if n else df).drop("new", "sign", "plus", "_n")
+#: A link's strength: nearness, then the lower degree of its ends (the lower the stronger), then a number of its own.
+NEAR, LOW = 58, 53
+
+
+def _strength(near, degree, number):
+    """One number in which links are ordered; the last part, a bijection of the link's number, makes them all differ."""
+    mask = F.lit((1 << LOW) - 1)
+    for shift in (21, -17, 13, -29):
+        moved = F.shiftleft(number, shift).bitwiseAND(mask) if shift > 0 else F.shiftright(number, -shift)
+        number = number.bitwiseXOR(moved)
+    return F.shiftleft(near.cast("long"), NEAR).bitwiseOR(F.shiftleft(F.lit(31) - F.least(degree, F.lit(31)).cast("long"), LOW)).bitwiseOR(number)
+
+
+def _cells(links: DataFrame) -> DataFrame:
+    """Links (all columns, cell_a, cell_b): cells are trees of paths and those that they name, to a depth of a few steps."""
+    sides = links.select(F.col("path_a").alias("path"), "s", F.col("path_b").alias("other")).unionByName(links.select(F.col("path_b").alias("path"), "s", F.col("path_a").alias("other")))
+    named = written(sides.groupBy("path").agg(F.max_by("other", "s").alias("up")), "named")
+
+    def after(of: DataFrame, then: DataFrame) -> DataFrame:
+        """Where one more step leads."""
+        return of.join(then.select(F.col("path").alias("up"), F.col("up").alias("last")), "up").select("path", F.col("last").alias("up"))
 
+    two = after(named, named)
+    four = after(two, two)
+    # The last two of a tree name each other: the smaller number stands for both.
+    cells = four.join(named.select(F.col("path").alias("up"), F.col("up").alias("next")), "up").select("path", F.least("up", "next").alias("cell"))
+    cells = written(cells, "cells")
+    for side in "ab":
+        links = links.join(cells.select(F.col("path").alias(f"path_{side}"), F.col("cell").alias(f"cell_{side}")), f"path_{side}")
+    out = written(links, "links")
+    drop_written(named)
+    drop_written(cells)
+    return out
+
+
+def _moved(links: DataFrame, joints: DataFrame, side: str) -> DataFrame:
+    """Links whose ends of that side are still ends after joints, with the paths and places they have then."""
+    j = joints.select(F.col("path").alias(f"path_{side}"), "new", "sign", "plus", F.col("n").alias("_n"))
+    df = links.join(j, f"path_{side}", "left")
+    at = F.col("sign") * F.when(F.col(f"tail_{side}") == 1, F.col(f"n_{side}") - 1).otherwise(0) + F.col("plus")
+    df = df.withColumn("_at", at).where("_at is null or _at = 0 or _at = _n - 1")
+    df = df.withColumn(f"tail_{side}", F.when(F.col("_at").isNull(), F.col(f"tail_{side}")).otherwise((F.col("_at") > 0).cast("int")))
+    df = df.withColumn(f"path_{side}", F.coalesce("new", f"path_{side}")).withColumn(f"n_{side}", F.coalesce("_n", f"n_{side}"))
+    return df.select(links.columns)
 
-def joints(graph: DataFrame, most: int) -> list[DataFrame]:
-    """How paths are joined, round after round; a document is a path at first. graph: row, others. At most ``most`` links are left to one task.
 
-    A round's table has each path that is joined: its new name, and sign and plus, by which the place of a document in the
-    path becomes sign * place + plus; n is the number of documents of the new path.
+def joints(graph: DataFrame, most: int = WALK) -> list[DataFrame]:
+    """How paths are joined, round after round; a document is a path at first. At most ``most`` links are left to one task.
+
+    graph: a, b, near, degree. A round's table has each path that is joined: its new number, and sign and plus, by which
+    the place of a document in the path becomes sign * place + plus; n is the number of documents of the new path.
     """
-    links = graph.select("row", F.inline("others")).select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b"), "near").distinct()
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    left = written(links.select("near", "a", "b", F.col("a").alias("path_a"), none.alias("at_a"), one.alias("n_a"), F.col("b").alias("path_b"), none.alias("at_b"), one.alias("n_b")), "links")
+    links = graph.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("degree").alias("degree"))
+    none, one = F.lit(0), F.lit(1).cast("long")
+    s = _strength(F.col("near"), F.col("degree"), F.monotonically_increasing_id())
+    left = written(links.select(s.alias("s"), F.col("a").alias("path_a"), none.alias("tail_a"), one.alias("n_a"), F.col("b").alias("path_b"), none.alias("tail_b"), one.alias("n_b")), "links")
     rounds: list[DataFrame] = []
+    columns = left.columns
     while left.count() > most:
-        link = F.struct("near", F.xxhash64("a", "b").alias("tie"), *(c for c in left.columns if c != "near"))
-        sides = left.select(F.col("path_a").alias("path"), link.alias("link")).unionByName(left.select(F.col("path_b").alias("path"), link.alias("link")))
-        # The strongest link of both its paths is taken: a path is joined once in a round, so there are no circles.
-        taken = sides.groupBy("path").agg(F.max("link").alias("link")).groupBy("link").count().where("count = 2").select("link.*")
-        swap = F.col("path_a") > F.col("path_b")
-        first = {c: F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("path", "at", "n")}
-        second = {c: F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("path", "at", "n")}
-        taken = taken.select(*(x.alias(f"{c}_1") for c, x in first.items()), *(x.alias(f"{c}_2") for c, x in second.items()))
-        pair = """inline(array(
-            named_struct('path', path_1, 'new', path_1, 'sign', if(at_1 = n_1 - 1, 1L, -1L), 'plus', if(at_1 = n_1 - 1, 0L, n_1 - 1), 'n', n_1 + n_2),
-            named_struct('path', path_2, 'new', path_1, 'sign', if(at_2 = 0, 1L, -1L), 'plus', if(at_2 = 0, n_1, n_1 + n_2 - 1), 'n', n_1 + n_2)))"""
-        rounds.append(written(taken.selectExpr(pair), "joints"))
-        old = left
-        left = _moved(_moved(old, rounds[-1], "path_a", "at_a", "n_a"), rounds[-1], "path_b", "at_b", "n_b")
-        left = written(left.where("path_a <> path_b AND at_a IN (0, n_a - 1) AND at_b IN (0, n_b - 1)").select(*old.columns), "links")
+        old, links = left, _cells(left)
+        same = links.where("cell_a = cell_b").select(F.col("cell_a").alias("cell"), *columns)
+        rounds.append(written(arrow_map(same.repartition("cell").sortWithinPartitions("cell", "s"), _walked, JOINTS), "joints"))
+        left = written(_moved(_moved(links.select(columns), rounds[-1], "a"), rounds[-1], "b").where("path_a <> path_b"), "links")
         drop_written(old)
-    rounds.append(written(arrow_map(left.coalesce(1), _walked, JOINTS), "joints"))
+        drop_written(links)
+    rest = left.select(F.lit(0).cast("long").alias("cell"), *columns).coalesce(1).sortWithinPartitions("s")
+    rounds.append(written(arrow_map(rest, _walked, JOINTS), "joints"))
     drop_written(left)
     return rounds
 
 
+def composed(rounds: list[DataFrame]) -> DataFrame:
+    """All rounds as one: path (a document at first), new, sign, plus. From the last round back, so that each join is of tables
+    no larger than what is left of the paths then."""
+    all_ = rounds[-1].select("path", "new", "sign", "plus")
+    for early in rounds[-2::-1]:
+        late = all_.select(F.col("path").alias("then"), F.col("new").alias("last"), F.col("sign").alias("turn"), F.col("plus").alias("more"))
+        both = early.select("path", "new", "sign", "plus").join(late, F.col("new") == F.col("then"), "full")
+        # A path that isn't in the early round came to the late one under its own number.
+        sign, plus, turn, more = F.coalesce("sign", F.lit(1)), F.coalesce("plus", F.lit(0)), F.coalesce("turn", F.lit(1)), F.coalesce("more", F.lit(0))
+        all_ = both.select(F.coalesce("path", "then").alias("path"), F.coalesce("last", "new").alias("new"), (sign * turn).alias("sign"), (turn * plus + more).alias("plus"))
+    return all_
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, n) of a partition, in order, with the ids before them in it."""
     from pyspark import TaskContext
@@ -222,26 +323,22 @@ def _cut(length: int):
 
 
 def neighbours(tokens: DataFrame) -> DataFrame:
-    """The graph: row, others (its nearest, as near and b)."""
-    keys = tokens.select("row", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("table"))
-    keys = keys.select("table", F.expr("sketch[table]").alias("first"), F.expr(f"sketch[(table + 1) % {BINS}]").alias("second"), "row", "sketch")
+    """The graph, as links of each document to its nearest: a, b (a < b), near, degree. Links of both ends' choice are there twice."""
     order = ["table", "first", "second", "row"]
-    edges = arrow_map(keys.repartitionByRange(*order).sortWithinPartitions(*order).select("table", "first", "row", "sketch"), _adjacent, EDGES).distinct()
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
+    keys = arrow_map(tokens.select("row", "sketch"), _keys, KEYS).repartitionByRange(*order).sortWithinPartitions(*order)
     # A row has at most 2 * BEFORE * TABLES links.
-    return both.groupBy(F.col("a").alias("row")).agg(F.slice(F.sort_array(F.collect_list(F.struct("near", "b")), asc=False), 1, NEAREST).alias("others"))
+    edges = arrow_map(keys.select("table", "first", "row", "bins"), _adjacent, EDGES).repartition("a").sortWithinPartitions("a")
+    return arrow_map(edges, _nearest, LINKS)
 
 
-def packed(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, block: int = BLOCK) -> DataFrame:
+def packed(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, most: int = WALK) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian u4)."""
     spark = documents.sparkSession
     docs = checked(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     tokens = written(arrow_map(docs, _encoded(tokenizer, end), TOKENS), "tokens")
-    count = tokens.count()
-    blocks = max(1, -(-count // block))
-    order = tokens.select("row", "n", F.col("row").alias("path"), F.lit(0).cast("long").alias("at"))
-    for joined in joints(neighbours(tokens), NEAREST * block):
-        order = _moved(order, joined, "path", "at")
+    blocks = max(1, -(-tokens.count() // PLACE))
+    moved = composed(joints(neighbours(tokens), most)).withColumnRenamed("path", "row")
+    order = tokens.select("row", "n").join(moved, "row", "left").select("row", "n", F.coalesce("new", "row").alias("path"), F.coalesce("plus", F.lit(0)).alias("at"))
     order = order.repartitionByRange(blocks, "path", "at").sortWithinPartitions("path", "at").select("row", "n")
     placed = written(arrow_map(order, _placed, PLACED), "placed")
     sizes = placed.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()  # one row for each block
