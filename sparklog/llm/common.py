@@ -79,13 +79,36 @@ def release() -> None:
         trim(0)
 
 
+#: What a worker does now, and what it keeps over tasks while it goes on doing that.
+_doing = ""
+_kept: list[Callable[[], None]] = []
+
+
+def dropped_by(drop: Callable[[], None]) -> None:
+    """Have a worker call this when it turns from one function to another: what one keeps would be a load for the next."""
+    _kept.append(drop)
+
+
+def _turn(to: str) -> None:
+    global _doing
+    if to != _doing:
+        _doing = to
+        for drop in _kept:
+            drop()
+        release()
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Batches], Batches], schema: pa.Schema | StructType) -> DataFrame:
     """mapInArrow; a worker's free memory goes back at the end of each task."""
+    name = f"{fn.__module__}.{fn.__qualname__}"
 
     def run(batches: Batches) -> Batches:
+        from sparklog.llm import common  # this function travels by value, the module's state stays in the worker
+
+        common._turn(name)
         yield from fn(batches)
         release()
 
