@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, text_slices
+from .common import arrow_map, arrow_schema, checked, release, text_slices
 
 #: Families of languages by code; of those that share a writing system, relatives are hardest to tell apart.
 FAMILIES = {
@@ -68,13 +68,13 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights of a linear SVM by accelerated descent; y is 1 or -1. A column of ones gives an intercept."""
+    """Weights of a linear SVM by accelerated descent, the intercept last; y is 1 or -1."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    w = at = np.zeros(x.shape[1], x.dtype)
+    w = at = np.zeros(x.shape[1] + 1, x.dtype)
     step, t = 1 / (penalty + 4), 1.0
     for _ in range(rounds):
-        gap = np.maximum(0, 1 - y * (x @ at))
-        new = at - step * (penalty * at - 2 * x.T @ (share * gap * y))
+        pull = share * y * np.maximum(0, 1 - y * (x @ at[:-1] + at[-1]))
+        new = at - step * (penalty * at - 2 * np.append(pull @ x, pull.sum()))
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         at = new + (before - 1) / t * (new - w)
         w = new
@@ -86,7 +86,6 @@ class Model:
 
     def __init__(self, x: np.ndarray, langs: list[str], family_of: dict[str, str] | None = None) -> None:
         of = FAMILY_OF if family_of is None else family_of
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
         family = [of.get(lang, lang) for lang in langs]
         self.families = sorted(set(family))
         self.langs = {f: sorted({a for a, b in zip(langs, family) if b == f}) for f in self.families}
@@ -99,7 +98,7 @@ class Model:
         out = []
         for i, j in itertools.combinations(range(len(names)), 2):
             use = (of == names[i]) | (of == names[j])
-            out.append((i, j, svm(x[use], np.where(of[use] == names[i], 1, -1).astype(x.dtype))))
+            out.append((i, j, svm(x if use.all() else x[use], np.where(of[use] == names[i], 1, -1).astype(x.dtype))))
         return out
 
     @staticmethod
@@ -153,11 +152,18 @@ def fit(documents: DataFrame, sample: int = SAMPLE, family_of: dict[str, str] |
     share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, sample / n))))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = docs.where(chance < share[F.col("lang")]).select("lang", F.col("doc_id").cast("long").alias("key"), "text")
-    table = arrow_map(chosen, _sampled, FEATURES).toArrow().sort_by([("lang", "ascending"), ("key", "ascending"), ("x", "ascending")])
+    table = arrow_map(chosen, _sampled, FEATURES).toArrow().sort_by([("lang", "ascending"), ("key", "ascending"), ("x", "ascending")]).combine_chunks()
     if not table.num_rows:
         return None
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float16).reshape(table.num_rows, DIMENSIONS).astype(np.float32)
-    return Model(x, table["lang"].to_pylist(), family_of)
+    langs, x = table["lang"].to_pylist(), np.empty((table.num_rows, DIMENSIONS), np.float32)
+    for i, row in enumerate(table["x"]):  # one copy of the sample, not one for each form that it takes
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del table
+    release()
+    model = Model(x, langs, family_of)
+    del x
+    release()
+    return model
 
 
 def _predicted(rows: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
