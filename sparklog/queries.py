@@ -123,7 +123,7 @@ def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every last step of the proofs of one fact."""
     engine = engine_over(spark, sf_dir)
     engine.load("at(N, R) :- nation(N, _, R). at(N, R) :- supplier(S, N), nation(N, _, R), region(R, _).")
-    return engine.proofs("at('3', '1')")
+    return engine.proofs("at('3', '3')")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,9 +281,9 @@ SELECT 0 AS step, h || ' :- ' || p0 || ', ' || p1 || ', ' || p2 || ', ' || p3 ||
 
 SQL: dict[str, str] = {
     "q33_proof": _PROOF_SQL,
-    "q42_all_proofs": f"""SELECT DISTINCT 'rule' AS how, 'at(N, R) :- nation(N, _, R).' AS rule, 'at(3, 1) :- ' || {_fact("nation", "n_nationkey", "n_name", "n_regionkey")} || '.' AS line FROM nation WHERE n_nationkey = 3 AND n_regionkey = 1
-UNION SELECT 'rule', 'at(N, R) :- supplier(S, N), nation(N, _, R), region(R, _).', 'at(3, 1) :- ' || {_fact("supplier", "s_suppkey", "s_nationkey")} || ', ' || {_fact("nation", "n_nationkey", "n_name", "n_regionkey")} || ', ' || {_fact("region", "r_regionkey", "r_name")} || '.'
-FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 3 AND n_regionkey = 1""",
+    "q42_all_proofs": f"""SELECT DISTINCT 'rule' AS how, 'at(N, R) :- nation(N, _, R).' AS rule, 'at(3, 3) :- ' || {_fact("nation", "n_nationkey", "n_name", "n_regionkey")} || '.' AS line FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3
+UNION SELECT 'rule', 'at(N, R) :- supplier(S, N), nation(N, _, R), region(R, _).', 'at(3, 3) :- ' || {_fact("supplier", "s_suppkey", "s_nationkey")} || ', ' || {_fact("nation", "n_nationkey", "n_name", "n_regionkey")} || ', ' || {_fact("region", "r_regionkey", "r_name")} || '.'
+FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 3 AND n_regionkey = 3""",
     "q43_result_text": f"""SELECT 'told(' || {_q("r_regionkey")} || ', ''it''''s'', ' || {_q("r_name")} || ').' AS line FROM region
 UNION SELECT 'told(' || {_q("n_nationkey")} || ', plain, ' || {_q("n_name")} || ').' FROM nation WHERE n_regionkey = 1""",
     "q44_clause_text": """SELECT CAST(place AS BIGINT) AS place, line FROM (VALUES (0, 'a(X) :- b(X, ''Y z''), !c(X), X in [''Q'', p].'), (1, 'b(''it''''s'', ''_1x'').'), (2, 'go.'), (3, 'on() :- go(), !off().'), (4, '''P q''(x, 1-2)?')) t(place, line)""",
