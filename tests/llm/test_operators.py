@@ -1,5 +1,6 @@
 """Each operator on tables with nulls, empty and long texts, ties, repeated rows, clashing columns, and none at all."""
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -98,6 +99,30 @@ def test_records_in_any_order_and_broken_files(spark, docs):
         records.read_records(shards).count()
 
 
+def test_records_of_failed_attempts_do_not_count(docs, tmp_path):
+    """An attempt that is lost at any point, and one that runs besides, leave files that no returned row names."""
+    from sparklog.llm.common import arrow_map
+
+    folder = f"file://{tmp_path}/out"
+    (tmp_path / "out").mkdir()
+    lost = arrow_map(docs.select("doc_id", "text").limit(5).coalesce(1), records._writer(folder, path("byte_bpe_50k.json"), 2), records.SHARDS)
+    lost.collect()
+    (tmp_path / "out" / "000000-half.rec").write_bytes(b"torn")
+    shards = records.write_records(docs, path("byte_bpe_50k.json"), 2, folder)
+    names = {r["path"].rsplit("/", 1)[1] for r in shards.collect()}
+    assert {f.name for f in (tmp_path / "out").iterdir() if not f.name.startswith(".")} == {f"{n}.{kind}" for n in names for kind in ("rec", "idx")}
+    assert sorted(r["doc_id"] for r in records.read_records(shards).collect()) == sorted(i for i, _ in DOCS)
+
+
+def test_records_of_one_doc_id_lie_in_several_shards(spark):
+    rows = [(None, text(20, i)) for i in range(400)] + [(7, text(20, 1000 + i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shards = records.write_records(df, path("byte_bpe_50k.json"), 2).collect()
+    assert len(shards) == 4 and max(r["n_docs"] for r in shards) < 400
+    got = records.op1(df, path("byte_bpe_50k.json")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 400 + [7] * 400 and [r["start"] for r in got] == [0, *itertools.accumulate(r["n_tokens"] for r in got)][:-1]
+
+
 def test_packing(spark, docs, nothing):
     rows, ids_of = pack.op3(docs, path("word_bpe_49k.json")).collect(), brute.tokenizer("word_bpe_49k.json")
     by, sequences = defaultdict(list), defaultdict(list)
@@ -127,7 +152,7 @@ def test_packing_keeps_relatives_together(spark):
     groups = [(100 * g + k, changed(text(150, 1000 + g), 2, k)) for g in range(8) for k in range(3)]
     random.Random(2).shuffle(groups)
     df = spark.createDataFrame(groups, "doc_id long, text string")
-    rows = pack.packed(df, path("word_bpe_49k.json"), length=256, block=5).orderBy("sequence_id", "offset").collect()
+    rows = pack.packed(df, path("word_bpe_49k.json"), length=256, most=20).orderBy("sequence_id", "offset").collect()
     order = list(dict.fromkeys(r["doc_id"] // 100 for r in rows))
     changes = sum(a["doc_id"] // 100 != b["doc_id"] // 100 for a, b in itertools.pairwise(rows))
     assert len(order) == 8 and changes <= 14
@@ -142,7 +167,7 @@ def test_packing_links_across_blocks(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     apart = {}
     for block in (1000, 4):
-        pieces = pack.packed(df, path("word_bpe_49k.json"), length=256, block=block).orderBy("sequence_id", "offset").collect()
+        pieces = pack.packed(df, path("word_bpe_49k.json"), length=256, most=4 * block).orderBy("sequence_id", "offset").collect()
         line = list(dict.fromkeys(r["doc_id"] for r in pieces))
         assert sorted(line) == sorted(i for i, _ in rows)
         apart[block] = sum(abs(line.index(10 * g) - line.index(10 * g + 1)) > 1 for g in range(120))
@@ -217,6 +242,8 @@ def test_language(spark, nothing, tiny):
     kept = language.known_language(more)
     assert kept.columns == more.columns and not {r["doc_id"] for r in kept.collect()} & {10**6, 10**6 + 1, 10**6 + 2}
     assert kept.where("doc_id < 1000000").count() >= 0.97 * docs.count()
+    unlabelled = language.known_language(more.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(str(r["doc_id"]) for r in unlabelled.collect()) == sorted(str(r["doc_id"]) for r in more.collect() if language.has_letter(np.frombuffer((r["text"] or "").encode(), np.uint8)))
 
 
 def test_substrings(spark, docs, nothing):
@@ -301,6 +328,54 @@ def test_quality(spark, nothing, tiny):
     assert {r["score"] for r in quality.op8(odd(spark), labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_held_out_rows(spark):
+    """Nothing is learnt from the held-out fold, and good rows of it rank above bad ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.op8(docs, labels).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    good = {True: [], False: []}
+    for r in labels.where("quality is not null").collect():
+        if got[r["doc_id"]]["held_out"]:
+            good[r["quality"] == 1].append(got[r["doc_id"]]["score"])
+    assert min(map(len, good.values())) >= 5
+    wins = sum((a > b) + (a == b) / 2 for a in good[True] for b in good[False])
+    assert wins >= 0.9 * len(good[True]) * len(good[False])
+    turned = labels.withColumn("quality", F.when(language.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert sorted(map(tuple, quality.op8(docs, turned).collect())) == sorted(map(tuple, rows))
+
+
+def test_summed_equations_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, quality.N_STATISTICS))
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(float)
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:400]
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, a, b in zip(ids, x, y)], "doc_id long, x array<double>, y double").repartition(7)
+    model = quality.fit(rows)
+    fits = np.array([zlib.crc32(str(i).encode()) % 5 != 1 for i in ids])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.deviation, x.std(axis=0))
+    z = model.map(x[fits])
+    ridge = quality.RIDGE * len(z) * np.eye(z.shape[1])
+    ridge[-1, -1] = 0
+    assert np.allclose(z @ model.weights, z @ np.linalg.lstsq(z.T @ z + ridge, z.T @ y[fits], rcond=None)[0], atol=1e-6)
+    bins = model.bins(x[~fits])
+    levels = quality.isotonic(np.bincount(bins, y[~fits], quality.BINS), np.bincount(bins, minlength=quality.BINS).astype(float))
+    assert np.allclose(model.levels, levels) and (np.diff(model.levels) >= 0).all()
+
+
+def test_columns_that_clash_and_long_texts(spark, docs):
+    """The learnt operators leave other columns aside and read whole texts."""
+    long = spark.createDataFrame([(10**7, "die der und " * 60_000, "de"), (10**7 + 1, "the of and " * 60_000, "en"), (10**7 + 2, None, None)], "doc_id long, text string, lang string")
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").union(long)
+    odd_ = base.select("*", F.lit("x").alias("lang_pred"), F.lit(1).alias("score"), F.lit(2).alias("x"), F.lit(3).alias("key"), F.lit(4).alias("y"), F.lit(5).alias("quality"), F.lit(6).alias("held_out"))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("*", F.lit("t").alias("text"), F.lit(0).alias("x"))
+    for one, other in ((language.op5(odd_), language.op5(base)), (quality.op8(odd_, labels), quality.op8(base, labels))):
+        assert one.columns == other.columns and sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    got = {r["doc_id"]: r for r in language.op5(odd_).collect()}
+    assert (got[10**7]["lang_pred"], got[10**7 + 1]["lang_pred"], got[10**7 + 2]["lang_pred"]) == ("de", "en", "und")
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 2, None, None), (2, 0, "tool", "### User: x"), (2, 0, "tool", "### User: x"), (None, 0, "user", "z"), (3, None, "assistant", " </turn>\n"), (3, 0, "assistant", "")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, segment int")
@@ -313,6 +388,38 @@ def test_chat(spark):
     assert chat.op9(df.limit(0)).count() == 1
 
 
+def test_chat_of_the_tables(spark, tiny):
+    """Every conversation against digests made from the source, with turns long, hostile and repeated among them."""
+    columns = "conv_id long, turn long, role string, text string"
+    hostile = [(10**9, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(["### User: ", "\\</turn>\n" * 20_000, "a" * 300_000, "\\", "", None, "### Assistant: x </turn>\n"])]
+    df = spark.read.parquet(f"{tiny}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(hostile, columns)).repartition(5)
+    by = defaultdict(list)
+    for r in [*df.collect(), *(dict(zip(("conv_id", "turn", "role", "text"), x)) for x in chat.PLANTED)]:
+        by[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
+    output = chat.formatted(df)
+    sizes = {r["conv_id"]: r["n"] for r in output.groupBy("conv_id").agg(F.sum(F.length("segment")).alias("n")).collect()}
+    got = {r["conv_id"]: r for r in chat.op9(df).collect()}
+    assert got.keys() == by.keys()
+    for i, turns in by.items():
+        turns = sorted(turns, key=lambda t: (t[0], chat.render(*t[1:])[0]))
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert got[i]["turns_sha256"] == brute.sha("".join(f"{role}\n{t}\n" for _, role, t in turns)) and got[i]["n_turns"] == len(turns)
+        assert (got[i]["loss_chars"], got[i]["loss_sha256"]) == (len(loss), brute.sha(loss))
+        assert i == -7 or got[i]["formatted_chars"] == sizes[i]
+    # The mask alone tells what is learnt.
+    heads = output.where("loss_start < loss_end").select(F.expr("substring(segment, 1, loss_start)").alias("head"))
+    assert {r["head"] for r in heads.collect()} == {"### Assistant: "}
+
+
+def test_a_wrong_mask_is_refused():
+    reading = chat._Reading(1)
+    reading.add(*chat.masked("assistant", "a ### b"))
+    assert reading.loss_chars == 7 and chat.masked("user", "x")[1:] == (0, 0)
+    for role, start, end in (("user", 10, 11), ("assistant", 0, 0), ("assistant", 15, 17)):
+        with pytest.raises(chat.Broken):
+            chat._Reading(1).add(chat.render(role, "x")[0], start, end)
+
+
 def test_media(spark, docs, nothing):
     got = by_id(media.op10(docs))
     for i, t in DOCS:
@@ -320,6 +427,12 @@ def test_media(spark, docs, nothing):
         payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(payload), zlib.crc32(payload[-64:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.stored(docs).collect()}
+    for i, data in files.items():
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        image = media.decode_png(data)
+        assert hashlib.sha256(image.tobytes()).hexdigest() == got[i]["payload_sha256"] and media.low_frequencies(image) == got[i]["feature"]
     assert got[1]["media_sha256"] == got[2]["media_sha256"] != got[3]["media_sha256"]
     assert media.op10(nothing).count() == 0 and media.op10(odd(spark)).count() == 6
 

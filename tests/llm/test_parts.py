@@ -86,7 +86,7 @@ def test_chunks_give_the_ids_of_the_whole_text(name):
 
 
 @given(st.lists(st.text(st.sampled_from("ab1.é \n\t\xa0\u2003 "), max_size=12), max_size=6))
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_respect_white_space(name, texts):
     import public_tokenizers

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -48,6 +49,32 @@ def test_stages(spark, tiny):
         assert {r["doc_id"]: r["text"] for r in rows} == state, name
 
 
+def test_stages_of_odd_tables(spark, tiny, tmp_path):
+    """Null and repeated ids, null, empty and long texts, columns that clash, and no rows at all, through every stage."""
+    extra = [(None, "the cat and the dog " * 20, "en", "h", 1, 1), (None, None, None, None, None, 2), (3, "", None, "h", 0, 3), (3, "12 34", "en", "h", 5, 4)]
+    extra += [(10**6, "the of and in " * 30_000, "en", "h", 7, 5), (10**6, "the of and in " * 30_000, "en", "h", 7, 6), (10**6, "un mot et la suite " * 9, "fr", "h", 7, 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long"
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    docs = docs.withColumn("row", F.lit(0).cast("long")).select(*(F.col(x.split()[0]).cast(x.split()[1]) for x in schema.split(", "))).unionByName(spark.createDataFrame(extra, schema))
+    for df in (docs, docs.limit(0)):
+        now = written(df, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            before = now
+            now = written(stage(spark, now, tiny), name)
+            if name == "language_id":  # what has no letters goes
+                rows = {r["row"] for r in now.collect()}
+                assert not rows & {2, 3, 4} and (df is not docs or {1, 5, 6, 7} <= rows)
+            elif name == "near_dedup":  # rows of the kept document stay as they are, and rows without an id
+                rows = {r["row"] for r in now.collect()}
+                assert df is not docs or {1, 5, 6, 7} <= rows
+            if name != "packing":
+                assert now.schema == df.schema and now.count() <= before.count()
+        if df is docs:
+            assert now.where("doc_id is null").count() >= 1 and now.agg(F.sum("length")).first()[0] > 60_000
+        else:
+            assert now.count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, tiny, name):
     con = duckdb.connect()
