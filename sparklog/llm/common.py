@@ -29,19 +29,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, from a table in the shared folder: cuts lineage and outlives any executor."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _of_folder(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def _of_folder(df: DataFrame, path: str) -> DataFrame:
+    df._sparklog_folder = path  # type: ignore[attr-defined]
+    return df
 
 
 def drop_written(df: DataFrame) -> None:
-    """Remove the files behind a table of ``written`` or ``bucketed`` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/" in name and shared_dir(spark).split(":")[-1].lstrip("/") in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            if table := _TABLES.pop(name.rsplit("/", 1)[1], None):
-                spark.sql(f"DROP TABLE IF EXISTS {table}")
+    """Remove the files behind a table that ``written`` or ``bucketed`` gave and nothing will read again; others stay."""
+    spark, name = df.sparkSession, getattr(df, "_sparklog_folder", None)
+    if name:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if table := _TABLES.pop(name.rsplit("/", 1)[1], None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def checked(df: DataFrame, *columns: str) -> DataFrame:
@@ -150,4 +153,4 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     n, path = spread(df), new_folder(spark, name)
     table = _TABLES[path.rsplit("/", 1)[1]] = path.rsplit("/", 1)[1].replace("-", "_")
     df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+    return _of_folder(spark.table(table), path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import arrow_map, arrow_schema, checked, text_slices, written
+from .common import arrow_map, arrow_schema, checked, dropped_by, text_slices, written
 
 WINDOW, K = 13, 7
 BLOCK_WORDS = 1 << 20
@@ -94,6 +94,18 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3  # type: ignore[return-value]
 
 
+#: A worker's index of the block that it worked with last, by the broadcast items, which all tasks of a worker share.
+_latest: dict[str, object] = {}
+dropped_by(_latest.clear)
+
+
+def index_of(items: list[tuple[int, str | None]], window: int, k: int) -> Index:
+    """The index of a block, made once in a worker."""
+    if _latest.get("items") is not items or _latest.get("sizes") != (window, k):
+        _latest.update(items=items, sizes=(window, k), index=Index(items, window, k))
+    return _latest["index"]  # type: ignore[return-value]
+
+
 def marked(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, raw, off in text_slices(batch, "text"):
@@ -173,7 +185,7 @@ def _spans(docs: DataFrame, parts: Blocks, window: int, k: int) -> DataFrame:
         shared = spark.sparkContext.broadcast(parts.fetch(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            return marked(batches, Index(shared.value, window, k))
+            return marked(batches, index_of(shared.value, window, k))
 
         one = arrow_map(docs, run, SPANS)
         if parts.count > 1:
@@ -210,7 +222,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: i
     shared = documents.sparkSession.sparkContext.broadcast(parts.fetch(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, window, k)
+        index = index_of(shared.value, window, k)
         for batch in batches:
             plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(np.arange(batch.num_rows)), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "row", "text"])
             keep = [x for part in marked(iter([plain]), index) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
