@@ -30,3 +30,17 @@ def components(links: DataFrame) -> DataFrame:
         if done:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         before = now
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links (a, b): only these, between the labels of their ends, are looked through again.
+
+    A node that isn't in labels is its own. The result is a written table.
+    """
+    for side in "ab":
+        of = labels.select(F.col("node").alias(side), F.col("label").alias("_label"))
+        links = links.join(of, side, "left").withColumn(side, F.coalesce("_label", side)).select("a", "b")
+    new = components(links)
+    moved = new.select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("_new", "label").alias("label"))
+    return written(old.unionByName(new.join(labels, "node", "left_anti")), "labels")

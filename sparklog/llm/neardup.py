@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from . import bloom
 from .common import arrow_map, arrow_schema, bucketed, checked, drop_written, text_slices, written
-from .graph import components
+from .graph import components, joined
 
 SIMILARITY, SHINGLE = 80, 5
 BANDS, ROWS = 36, 5
@@ -222,8 +222,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         tested = tested.unionByName(pairs)
         more = written(_verified(pairs, known, sets, percent, bands, rows_per_band), "found")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = joined(labels, more)
         open_, centres = now.where("not centre").select("key", "node", "n"), 2 * centres
     for table in (buckets, known, sets, now):
         drop_written(table)

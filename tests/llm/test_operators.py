@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparklog.llm import chat, decontaminate, html, language, media, neardup, pack, quality, records, substring
 from sparklog.llm.bloom import Bloom
+from sparklog.llm.graph import components, joined
 from tests.llm import brute
 
 RNG = random.Random(5)
@@ -202,6 +203,22 @@ def test_many_near_duplicates_of_one(spark):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (n, c), i
 
 
+def test_labels_after_more_links(spark):
+    """Links that come later give the components of all links, whatever nodes they touch."""
+    rng = random.Random(4)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, 101), (102, 101), (7, 7)]
+    label = {x: x for pair in links for x in pair}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    parts = [links[i::3] for i in range(3)]
+    labels = components(spark.createDataFrame(parts[0], "a long, b long"))
+    for part in parts[1:]:
+        labels = joined(labels, spark.createDataFrame(part, "a long, b long"))
+    got = {r["node"]: r["label"] for r in labels.collect()}
+    assert {x: got.get(x, x) for x in label} == label and len(got) == labels.count()
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs):
     out = neardup.one_of_each(docs, 4)
     assert out.columns == docs.columns
