@@ -21,7 +21,6 @@ import json
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 
@@ -33,12 +32,10 @@ _CHUNK = {"bytes": re.compile(rf"\s*(?:{_LATIN})|\s+"), "words": re.compile(_LAT
 _PURE = {"bytes": re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+"), "words": re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")}
 _JOIN = {"bytes": "", "words": " "}
 _MARK = {"bytes": lambda token: token.startswith("Ġ"), "words": lambda token: token.endswith("</w>")}
-_AT_ONCE = 1000
+_TOGETHER = 1000
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Bytes of memory that a generation of kept chunks may take, and what an entry takes besides its letters and ids.
 CACHE, ENTRY = 80 << 20, 190
-#: Characters of texts that are looked up together, or one text.
-TOGETHER = 1 << 17
 
 
 def _kind(path: str) -> str | None:
@@ -78,10 +75,6 @@ class Encoder:
             for token, i in self.tokenizer.get_vocab().items():
                 self.marks[i] = _MARK[self.kind](token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop all kept chunks."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.room = CACHE
@@ -94,8 +87,8 @@ class Encoder:
         if self.kind:
             pure = list(filter(_PURE[self.kind].fullmatch, chunks))
             size = self.dtype.itemsize
-            for i in range(0, len(pure), _AT_ONCE):
-                part = pure[i : i + _AT_ONCE]
+            for i in range(0, len(pure), _TOGETHER):
+                part = pure[i : i + _TOGETHER]
                 ids = np.array(self.tokenizer.encode_batch_fast([_JOIN[self.kind].join(part)], add_special_tokens=False)[0].ids, self.dtype)
                 at = np.flatnonzero(self.marks[ids])
                 if len(at) == len(part):
@@ -129,35 +122,27 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None], end: int | None) -> list[np.ndarray]:
-        tail = b"" if end is None else array(self.code, [end]).tobytes()
-        out: list[np.ndarray] = []
-        cuts: list[list[str]] = []
-        size = 0
+        get, tail = self.young.get, b"" if end is None else array(self.code, [end]).tobytes()
+        done: list[list[bytes | None]] = []
+        missing: dict[str, list[tuple[list[bytes | None], int]]] = {}
         for text in texts:
-            cuts.append(self._chunks(text) if text else [])
-            size += len(text or "")
-            if size > TOGETHER:
-                out += self._joined(cuts, tail)
-                cuts, size = [], 0
-        return out + self._joined(cuts, tail)
-
-    def _joined(self, cuts: list[list[str]], tail: bytes) -> list[np.ndarray]:
-        """The ids of texts by their chunks. Each different chunk is looked up once among all that are kept, then in a table
-        of these texts' own, which is small enough for a processor's cache."""
-        known = dict.fromkeys(chain.from_iterable(cuts))
-        known.update(zip(known, map(self.young.get, list(known))))
-        missing = [chunk for chunk, ids in known.items() if ids is None]
+            chunks = self._chunks(text) if text else []
+            parts = list(map(get, chunks))
+            done.append(parts)
+            at = -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                missing.setdefault(chunks[at], []).append((parts, at))
         again = {chunk: ids for chunk in missing if (ids := self.old.get(chunk)) is not None}
-        again |= self._ids([chunk for chunk in missing if chunk not in again])
-        known |= again
-        for chunk, ids in again.items():
+        for chunk, ids in (again | self._ids([chunk for chunk in missing if chunk not in again])).items():
             if len(chunk) <= 64:
                 self.young[chunk] = ids
                 self.room -= ENTRY + len(chunk) + len(ids)
+            for parts, at in missing[chunk]:
+                parts[at] = ids
         if self.room < 0:
             self.old, self.young, self.room = self.young, {}, CACHE
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)) + tail, self.dtype) for chunks in cuts]  # type: ignore[arg-type]
+        return [np.frombuffer(b"".join((*parts, tail)), self.dtype) for parts in done]  # type: ignore[arg-type]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -165,14 +150,14 @@ _encoders: dict[str, Encoder] = {}
 
 def _forget() -> None:
     for e in _encoders.values():
-        e.forget()
+        e.old = {}
 
 
 dropped_by(_forget)
 
 
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file; workers keep it, and its chunks until they turn to another function."""
+    """This process's encoder for a tokenizer file; workers keep it, with one generation of chunks when they turn to another function."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
