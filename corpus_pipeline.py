@@ -36,7 +36,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words benchmark passages cover less than a twentieth."""
+    """Documents without a benchmark passage: none that has 13 consecutive words of an item, however long the document is, and
+    none of whose words items of fewer than 13 words cover a twentieth or more."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

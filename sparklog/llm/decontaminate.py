@@ -7,6 +7,10 @@ place. Document fingerprints that occur in the benchmark are extended: each whol
 looked up among the benchmark's windows, and its words are marked. Benchmark items with fewer words than
 a window are windows of their own length, looked up at every position (at most window - 1 lengths).
 
+Two rules tell which documents are bad. ``contaminated``, that of op7's column: hit words are a twentieth of all or more.
+``leaked``, by which ``clean`` removes rows: that, or a whole window occurs, however long the document is. Items of fewer words
+than a window may occur by chance, so they alone remove a row only from a twentieth on.
+
 The benchmark goes to the executors in blocks of about ``block_words`` words, by a hash of item_id, so its broadcast is
 bounded and the driver holds one block at a time; documents are read once for each block, and a document's marks are
 merged when there are several.
@@ -30,7 +34,7 @@ from .common import arrow_map, arrow_schema, checked, dropped_by, text_slices, w
 WINDOW, K = 13, 7
 BLOCK_WORDS = 1 << 20
 
-SPANS = arrow_schema(doc_id=pa.int64(), row=pa.int64(), n_words=pa.int64(), n_hit=pa.int64(), hit_starts=pa.list_(pa.int32()), hit_ends=pa.list_(pa.int32()), items=pa.list_(pa.int64()))
+SPANS = arrow_schema(doc_id=pa.int64(), row=pa.int64(), n_words=pa.int64(), n_hit=pa.int64(), whole=pa.bool_(), hit_starts=pa.list_(pa.int32()), hit_ends=pa.list_(pa.int32()), items=pa.list_(pa.int64()))
 
 
 def winnow(grams: np.ndarray, first: np.ndarray, k: int, w: int) -> np.ndarray:
@@ -119,6 +123,7 @@ def marked(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
             hit = np.cumsum(hit[:-1]) > 0
             of = W.owners(first)
             n_hit = np.bincount(of[hit], minlength=rows.num_rows)
+            whole = np.bincount(of[at[length == index.window]], minlength=rows.num_rows) > 0
             starts: list[list[int]] = [[] for _ in range(rows.num_rows)]
             ends: list[list[int]] = [[] for _ in range(rows.num_rows)]
             items: list[list[int]] = [[] for _ in range(rows.num_rows)]
@@ -132,7 +137,7 @@ def marked(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
                     _, begin, item = index.by_length[n]
                     seen.update(item[begin[p] : begin[p + 1]].tolist())
                 items[d] = sorted(seen)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], schema=SPANS)
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(whole), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], schema=SPANS)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +151,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs[-1][1] = max(runs[-1][1], b)
                 else:
                     runs.append([a, b])
-            out.append({"doc_id": r["doc_id"], "row": r["row"], "n_words": r["n_words"], "n_hit": sum(b - a for a, b in runs), "hit_starts": [a for a, _ in runs], "hit_ends": [b for _, b in runs], "items": sorted({i for part in r["all_items"] for i in part})})
+            out.append({"doc_id": r["doc_id"], "row": r["row"], "n_words": r["n_words"], "n_hit": sum(b - a for a, b in runs), "whole": r["whole"], "hit_starts": [a for a, _ in runs], "hit_ends": [b for _, b in runs], "items": sorted({i for part in r["all_items"] for i in part})})
         yield pa.RecordBatch.from_pylist(out, schema=SPANS)
 
 
@@ -164,7 +169,8 @@ class Blocks:
 
 
 def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each document row: doc_id, n_words, n_hit, hit_starts, hit_ends (word places, end excluded), items.
+    """A row for each document row: doc_id, n_words, n_hit, whole (a window of full length occurs), hit_starts, hit_ends (word places,
+    end excluded), items.
 
     k words make a hash; window - k + 1 hashes make a winnowing window; k may be at most the window.
     """
@@ -194,7 +200,7 @@ def _spans(docs: DataFrame, parts: Blocks, window: int, k: int) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if parts.count > 1:
         spans = F.arrays_zip(F.col("hit_starts").alias("a"), F.col("hit_ends").alias("b"))
-        grouped = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(spans).alias("spans"), F.collect_list("items").alias("all_items"))
+        grouped = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.max("whole").alias("whole"), F.collect_list(spans).alias("spans"), F.collect_list("items").alias("all_items"))
         found = arrow_map(grouped, _merged, SPANS)
     return found
 
@@ -204,6 +210,11 @@ def contaminated(found: DataFrame):
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def leaked(found: DataFrame):
+    """Whether a whole window occurs, or hit words are at least a twentieth."""
+    return F.col("whole") | contaminated(found)
+
+
 def op7(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contaminated_spans(documents, benchmark)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -211,21 +222,21 @@ def op7(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. Each row is judged by itself. With one block of the benchmark nothing is shuffled."""
+    """The documents in which nothing leaked, with all their columns. Each row is judged by itself. With one block of the benchmark nothing is shuffled."""
     parts = Blocks(benchmark, block_words)
     if parts.count > 1:
         names = {c.lower() for c in documents.columns}
         row = next(c for i in range(len(names) + 1) if (c := f"_row{i}") not in names)
         numbered = written(documents.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
         found = _spans(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col(row).alias("row"), "text"), parts, window, k)
-        return numbered.join(found.where(contaminated(found)).select(F.col("row").alias(row)), row, "left_anti").select(documents.columns)
+        return numbered.join(found.where(leaked(found)).select(F.col("row").alias(row)), row, "left_anti").select(documents.columns)
     shared = documents.sparkSession.sparkContext.broadcast(parts.fetch(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of(shared.value, window, k)
         for batch in batches:
             plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(np.arange(batch.num_rows)), batch.column(batch.schema.get_field_index("text"))], names=["doc_id", "row", "text"])
-            keep = [x for part in marked(iter([plain]), index) for x in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-            yield batch.filter(pa.array([hit == 0 or 20 * hit < n for n, hit in keep], pa.bool_()))
+            judged = [x for part in marked(iter([plain]), index) for x in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("n_words", "n_hit", "whole")))]
+            yield batch.filter(pa.array([not whole and (hit == 0 or 20 * hit < n) for n, hit, whole in judged], pa.bool_()))
 
     return arrow_map(documents, run, documents.schema)

@@ -332,6 +332,20 @@ def test_decontamination_judges_each_row(spark):
         assert out.columns == df.columns and sorted(r["_row0"] for r in out.collect()) == [2, 4, 5, 6]
 
 
+def test_decontamination_of_long_documents(spark):
+    """A passage of a window removes a document of any length, and one word less doesn't; a short item does so from a twentieth on."""
+    words, short = ITEM.split(" "), "one two"
+    rows = [(1, f"{text(5000, 1)} {' '.join(words[4:17]).upper()}\n{text(5000, 2)}"), (2, f"{text(5000, 1)} {' '.join(words[4:16])} . {text(5000, 3)}"), (3, f"{text(60, 4)} {short}"), (4, f"{text(38, 5)} {short}")]
+    rows += [(5, f"{text(300, 6)} {short} {text(300, 7)} {ITEM} {text(300, 8)}"), (6, " ".join([short] * 13 + [text(600, 9)])), (7, text(600, 10)), (8, None), (None, f"{text(900, 11)} {ITEM}"), (None, text(900, 11))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for size in (5, 1 << 20):
+        out = [tuple(r) for r in decontaminate.clean(df, bench, block_words=size).collect()]
+        assert sorted(out, key=str) == sorted((rows[i] for i in (1, 2, 5, 6, 7, 9)), key=str)
+        found = {r["doc_id"]: r["whole"] for r in decontaminate.contaminated_spans(df, bench, block_words=size).where("doc_id is not null").collect()}
+        assert [i for i in sorted(found) if found[i]] == [1, 5]
+
+
 def test_quality(spark, nothing, tiny):
     docs, labels = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet")
     got = by_id(quality.op8(docs, labels))
