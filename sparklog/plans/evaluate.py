@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ from .compiler import compile_clause
 
 log = logging.getLogger("sparklog")
 
+#: Members of a class that are in one row, about.
+BLOCK = 512
+#: Rows of members of classes that one task makes, about.
+TASK_ROWS = 4_000_000
+
 
 def schema_of(kinds: list[str]) -> T.StructType:
     if not kinds:
@@ -31,12 +37,13 @@ def schema_of(kinds: list[str]) -> T.StructType:
 @dataclass
 class Options:
     """keep: whether rows of answers are stored: "never", "repeated" (from the second time that a query is asked; a query
-    that is asked once pays nothing) or "always" (from the first).
+    that is asked once pays nothing) or "always" (from the first). classes: whether recursions may go over classes of values.
     """
 
     max_rounds: int = 10_000
     doubling: bool = True
     magic: bool = True
+    classes: bool = True
     keep: str = "repeated"
 
     def __post_init__(self) -> None:
@@ -56,6 +63,8 @@ class Evaluation:
         self.frames: dict[Key, DataFrame] = {} if frames is None else frames
         self.stored: dict[Key, Stored] = {}
         self.kinds: dict[Key, list[str]] = {}
+        #: Kinds of predicates that have frames only.
+        self.given: dict[Key, list[str]] = {}
 
     @staticmethod
     def plain(key: Key) -> Key:
@@ -64,6 +73,8 @@ class Evaluation:
 
     def _base_kinds(self, key: Key) -> list[str] | None:
         own, now = self.plain(key), self.catalog.clock()
+        if key in self.given:
+            return self.given[key]
         if own != key or not self.rules.get(key) or self.facts.get(own) or self.catalog.of(own):
             found = [e.kinds(now) for e in self.catalog.of(own)]
             if self.facts.get(own):
@@ -134,19 +145,99 @@ class Evaluation:
             return self.spark.createDataFrame([], schema_of(self.kinds[key]))
         return out
 
+    def _store(self, key: Key) -> None:
+        """A derived predicate that is read several times, in a table."""
+        if self.rules.get(key) and key not in self.stored:
+            self.stored[key] = self._stored(key)
+            self.stored[key].add(self.frames[key])
+            self.frames[key] = self.stored[key].all()
+
+    def _classes(self, place: rewrite.Place) -> Stored:
+        """The classes of a place's values in blocks: class, block, members. Values whose rows are the same but for that
+        place are one class, which has the name of its smallest member.
+
+        Values with equal counts and hashes of rows are candidates; each row is then looked up among those of the smallest
+        value, and a value with a row that isn't there is a class by itself. No set of rows or class is held as a whole.
+        """
+        (key, i), kind = place, KINDS[self.kinds[place[0]][place[1]]]
+        rest = [f"c{j}" for j in range(key[1]) if j != i]
+        rows = self.frames[key].distinct().withColumnRenamed(f"c{i}", "value")
+        mark = ["n", "a", "b"]
+        marks = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(s), *rest)).alias(s) for s in mark[1:]))
+        first = marks.groupBy(*mark).agg(F.min("value").alias("class"))
+        named = marks.join(first, mark).select("value", "class")
+        known = rows.join(first.select(F.col("class").alias("value")), "value", "left_semi").withColumnRenamed("value", "class")
+        wrong = rows.join(named.where(F.col("value") != F.col("class")), "value").join(known, ["class", *rest], "left_anti").select("value", F.lit(True).alias("wrong")).distinct()
+        named = named.join(wrong, "value", "left").select("value", F.when(F.col("wrong"), F.col("value")).otherwise(F.col("class")).alias("class"))
+        blocks = F.ceil(F.col("n") / BLOCK)
+        sized = named.join(named.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class")
+        out = sized.groupBy("class", F.pmod(F.xxhash64("value"), blocks).alias("block")).agg(F.collect_list("value").alias("members"))
+        self.tables.append(Stored(self.spark, T.StructType([T.StructField("class", kind), T.StructField("block", T.LongType()), T.StructField("members", T.ArrayType(kind))])))
+        self.tables[-1].add(out)
+        return self.tables[-1]
+
+    def _by_class(self, key: Key) -> bool:
+        """The fixpoint over classes of values, if the rules allow it and there are at most half as many classes as values.
+
+        The members' rows are made where they are read; they are distinct, as a value is in one class.
+        """
+        found = rewrite.by_class(self.rules[key])
+        if not found:
+            return False
+        rules, fed = found
+        blocks: dict[rewrite.Place, DataFrame] = {}
+        fewer = False
+        for place in fed.values():
+            self._store(place[0])
+        for place in dict.fromkeys(fed.values()):
+            blocks[place] = self._classes(place).all()
+            values, classes = blocks[place].agg(F.sum(F.size("members")), F.count_distinct("class")).first()  # type: ignore[misc]
+            fewer = fewer or 2 * classes <= (values or 0)
+        if not fewer:
+            for _ in blocks:
+                self.tables.pop().delete()
+            return False
+        every = {k: [*self.facts.get(k, []), *self.rules.get(k, [])] for k in {*self.facts, *self.rules}}
+        inner = Evaluation(self.spark, self.catalog, every | rules, replace(self.options, classes=False), dict(self.frames), self.tables)
+        inner.stored = dict(self.stored)
+        for place, df in blocks.items():
+            (name, n), i = place
+            kinds = self.kinds[place[0]]
+            of, rows = rewrite.class_of(place), rewrite.rows_of(place)
+            inner.frames[of] = df.select(F.explode("members").alias("c0"), F.col("class").alias("c1"))
+            inner.frames[rows] = self.frames[place[0]].distinct().join(df.select(F.col("class").alias(f"c{i}")).distinct(), f"c{i}", "left_semi")
+            inner.given |= {of: [kinds[i]] * 2, rows: kinds}
+        out = inner.frame((key[0] + rewrite.CLASSES, key[1]))
+        total, ids = F.lit(1.0), []
+        for i, place in fed.items():
+            part = blocks[place].select(F.col("class").alias(f"c{i}"), F.col("block").alias(f"b{i}"), F.col("members").alias(f"m{i}"))
+            out = out.join(part, f"c{i}")
+            total, ids = total * F.size(f"m{i}"), [*ids, f"c{i}", f"b{i}"]
+        n = out.agg(F.sum(total)).first()[0] or 0  # type: ignore[index]
+        tasks = min(math.ceil(n / TASK_ROWS) or 1, 1_000_000)
+        out = out.repartition(tasks, *ids)
+        for i in fed:
+            # Compiled code holds all rows that it makes of one; what isn't compiled, as a lambda, hands on one at a time.
+            members = F.col(f"m{i}") if i == max(fed) else F.transform(f"m{i}", lambda x: x)
+            out = out.select(*(c for c in out.columns if c not in (f"c{i}", f"b{i}", f"m{i}")), F.explode(members).alias(f"c{i}"))
+        out = out.select(*(f"c{i}" for i in range(key[1])))
+        # What is known of its size is that of the blocks: a join must not take it for small.
+        self.frames[key] = out.hint("merge") if tasks > 1 else out
+        return True
+
     def _fixpoint(self, component: list[Key], plain: bool = False) -> None:
         """Semi-naive rounds: each recursive literal in turn reads what the last round added, the others all there is."""
         spark, inside = self.spark, set(component)
         rules = {k: self.rules.get(k, []) for k in component}
+        closure = None
         if self.options.doubling and not plain and len(component) == 1:
             closure = rewrite.doubling(rules[component[0]], self.has_base(component[0]))
             if closure:
                 rules = {component[0]: closure}
+        if self.options.classes and not plain and not closure and len(component) == 1 and not self.has_base(component[0]) and self._by_class(component[0]):
+            return
         for key in {b.key for k in component for c in rules[k] for b in c.body if not b.is_member} - inside:
-            if self.rules.get(key) and key not in self.stored:  # a derived predicate would be computed anew in each round
-                self.stored[key] = self._stored(key)
-                self.stored[key].add(self.frames[key])
-                self.frames[key] = self.stored[key].all()
+            self._store(key)  # it would be computed anew in each round
         stored = {k: self._stored(k) for k in component}
         for key in component:
             start = self._union(key, [c for c in rules[key] if not any(b.key in inside for b in c.body)])
